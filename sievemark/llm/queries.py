@@ -8,7 +8,9 @@ from importlib import import_module
 MODULES = {
     "exact_dedup": "op1_exact_dedup",
     "mixing": "op3_mixing",
+    "packing": "op4_packing",
     "sharding": "op9_sharding",
+    "token_output": "op10_token_output",
 }
 
 
