@@ -7,6 +7,7 @@ from importlib import import_module
 #: module, query; the SQL, where there is any, is the module's ORACLE.
 MODULES = {
     "exact_dedup": "op1_exact_dedup",
+    "html_text": "op7_html_text",
     "mixing": "op3_mixing",
     "packing": "op4_packing",
     "sharding": "op9_sharding",
