@@ -10,6 +10,7 @@ MODULES = {
     "html_text": "op7_html_text",
     "mixing": "op3_mixing",
     "packing": "op4_packing",
+    "pii": "op8_personal_data",
     "sharding": "op9_sharding",
     "token_output": "op10_token_output",
 }
