@@ -11,6 +11,7 @@ MODULES = {
     "mixing": "op3_mixing",
     "packing": "op4_packing",
     "pii": "op8_personal_data",
+    "quality": "op6_quality",
     "sharding": "op9_sharding",
     "token_output": "op10_token_output",
 }
