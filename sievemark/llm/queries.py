@@ -9,6 +9,7 @@ MODULES = {
     "exact_dedup": "op1_exact_dedup",
     "html_text": "op7_html_text",
     "mixing": "op3_mixing",
+    "ngram_join": "op5_ngram_join",
     "packing": "op4_packing",
     "pii": "op8_personal_data",
     "quality": "op6_quality",
