@@ -93,9 +93,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; ids must be unique."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat both id and text, one."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_key"), F.col("text_sha256").alias("_sha"))
+    own = docs.select("*", key.alias("_key"), F.sha2(text_or_empty(text_col), 256).alias("_sha"))
+    return own.join(kept, ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"]).select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,16 +75,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` as the mix takes it: a row for each whole repeat, then one with the words of a part.
 
-    Ids must be unique. Texts that are taken whole stay as they are; a document of no words stays out.
+    Texts that are taken whole stay as they are; rows of which nothing is taken go. Rows that repeat
+    an id each take their id's mean share.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    whole = F.when(F.col("_taken") >= F.col("_size"), F.array_repeat(F.lit(0), F.floor(F.col("_taken") / F.col("_size")).cast("int"))).otherwise(F.array().cast("array<int>"))
+    each = mix(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias("_key"))
+    taken = each.agg(F.max("size").alias("_size"), F.floor(F.avg("taken")).alias("_taken")).where("_taken > 0 and _key is not null")
+    none = F.array().cast("array<int>")
     part = (F.col("_taken") % F.col("_size")).cast("int")
-    times = F.concat(whole, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    grown = docs.join(taken.withColumn("_times", times), docs[id_col].eqNullSafe(taken["_id"])).withColumn("_cut", F.explode("_times"))
-    pieces = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.greatest(F.col("_cut"), F.lit(1)))
-    text = F.when(F.col("_cut") > 0, F.array_join(pieces, "")).otherwise(F.col(text_col))
-    return grown.withColumn("_text", text).select(*[F.col("_text").alias(c) if c == text_col else docs[c] for c in docs.columns])
+    repeats = F.concat(F.array_repeat(F.lit(0), F.floor(F.col("_taken") / F.col("_size")).cast("int")), F.when(part > 0, F.array(part)).otherwise(none))
+    grown = docs.withColumn("_key", F.col(id_col).cast("long")).join(taken.select("_key", repeats.alias("_cuts")), "_key").withColumn("_cut", F.explode("_cuts"))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    text = F.when(F.col("_cut") > 0, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_cut"), F.lit(1))), "")).otherwise(F.col(text_col))
+    return grown.withColumn(text_col, text).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,9 +282,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component (its least id), with all their columns."""
-    kept = jaccard_classes(docs, id_col, text_col).where("component_id = doc_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+    """One row of each component, its least id, with all columns. Rows without an id stay."""
+    kept = jaccard_classes(docs, id_col, text_col).where("component_id = doc_id").select(F.col("doc_id").alias("_key")).distinct()
+    own = docs.where(F.col(id_col).isNotNull()).withColumn("_key", F.col(id_col).cast("long")).join(kept, "_key", "left_semi").dropDuplicates(["_key"])
+    return own.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

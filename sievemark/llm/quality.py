@@ -143,27 +143,49 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     return raw, np.array([r["_label"] for r in found], np.float64)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, most: int = LABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row per document."""
+def _scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int):
+    """A function of texts to scores, fitted on the driver and shipped once to each executor."""
     raw, known_labels = labelled_features(docs, labels, id_col, text_col, label_col, most)
     space = Space(raw) if len(raw) else None
     known = space.vectors(raw) if space else np.zeros((0, 1), np.float32)
     shipped = docs.sparkSession.sparkContext.broadcast((space, known, known_labels))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(texts: list[str | None]) -> np.ndarray:
         space, known, known_labels = shipped.value
+        if not space:
+            return np.full(len(texts), 0.5)
+        return np.clip(vote(space.vectors(features([t or "" for t in texts])), known, known_labels), 0, 1)
+
+    return score
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, most: int = LABELLED) -> DataFrame:
+    """doc_id, held_out, score, predicted: one row per document."""
+    score = _scorer(docs, labels, id_col, text_col, label_col, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                texts = part.column(2).to_pylist()
-                scores = vote(space.vectors(features(texts)), known, known_labels) if space else np.full(len(texts), 0.5)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.clip(scores, 0, 1), pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"]
-                )
+                scores = score(part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), _held_out(F.col(id_col)).alias("held_out"), text_or_empty(text_col).alias("text"))
     return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, most: int = LABELLED) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't reject, with all columns; no shuffle."""
+    score, at = _scorer(docs, labels, id_col, text_col, label_col, most), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                yield part.filter(pa.array(score(part.column(at).to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

@@ -15,6 +15,7 @@ MODULES = {
     "quality": "op6_quality",
     "sharding": "op9_sharding",
     "token_output": "op10_token_output",
+    "vector_dedup": "op2_vector_dedup",
 }
 
 
