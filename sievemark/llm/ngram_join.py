@@ -2,17 +2,22 @@
 
 1. One pass hashes every document's 5-word shingles and counts them in a sketch of ``SLOTS`` counters
    (a fixed size, summed in streams). Equal sets share a 128-bit key and count as one from here on.
-2. Shingles are ordered by rarity: first the rare class (counters near the mean), then the frequent
-   ones by count. A set's prefix holds |x| - t + 1 shingles, t = ceil(0.8 |x|); similar sets share one.
+2. Most sets have no partner, which a necessary condition shows without moving them: of its first
+   |x| - t + m shingles by hash (t = ceil(0.8 |x|), m a tenth of |x|), a set must share m with a
+   partner's. Tasks send these hashes as sorted runs to their hash range, which answers with counts
+   of those that are not alone; sets that fall short are done.
+3. Shingles of the others are ordered by rarity: first the rare class (counters near the usual), then
+   the frequent ones by count. A set's prefix holds |x| - t + 1 shingles; similar sets share one.
    Rare ones are indexed singly. Where the prefix reaches frequent shingles it is extended by c more,
    the frequent ones are dealt into c classes by hash, and 2-combinations within a class are indexed:
    similar sets then share c + 1 of the extended prefix, so a rare one or two of some class. c depends
    on the size band, and a set indexes its own band and the next, so similar sets meet in one.
-3. Sets that share a signature are joined to candidate components; components of more than a block
+4. Sets that share a signature are joined to candidate components; components of more than a block
    are compared block pair by block pair (of sets in size order, so far-apart sizes never meet), with
    exact intersections of the hash sets. Each comparison returns spanning links, never pairs.
 
-A fixed-size bitmap tells the last pass which documents it needs; the exact join follows it.
+A fixed-size bitmap tells the pass that writes the remaining sets which documents it needs; documents
+that it lets through by chance are compared like the others.
 
 Defined results: null text counts as empty; an empty set links with nothing, not even another empty
 one; repeated rows share their class; an empty table gives an empty result; other columns are
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 
 from sievemark.llm.common import materialize, read_table, text_or_empty
 from sievemark.llm.components import connected
+from sievemark.llm.packing import _task
 from sievemark.llm.shingles import mix, set_key, shingle_sets
 
 PERCENT, SLOT_BITS, RANGES = 80, 20, 256
@@ -88,7 +94,7 @@ def frequency_classes(first: DataFrame) -> np.ndarray:
         count[r.slot] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
     count = count.ravel()
     usual = np.median(count)
-    limit = usual + 6 * np.sqrt(usual + 1) + 24
+    limit = usual + 6 * np.sqrt(usual + 1) + 8
     return np.where(count <= limit, 0, np.clip(1 + 8 * np.log2(np.maximum(count, 1) / limit), 1, 255)).astype(np.uint8)
 
 
@@ -130,28 +136,114 @@ def signatures(own: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _postings(docs: DataFrame, frequency: np.ndarray) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(frequency)
+def _asked(own: np.ndarray) -> tuple[int, int]:
+    """How many of a set's least hashes to ask about, and how many must be shared with a partner's.
+
+    The partner's own number may be that of a set of 0.8 the size, so the lesser one counts.
+    """
+    n = len(own)
+    return min(n, n - -(-PERCENT * n // 100) + n // 10 + 1), PERCENT * n // 1000 + 1
+
+
+def _ask(frequency: np.ndarray, range_bits: int):
+    """Rows (chunk, range, payload): sorted hashes and their owners' numbers, and a header a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch], shipped=frequency) -> Iterator[pa.RecordBatch]:
+        usual = shipped.value == 0
+        chunk, seen = _task() << 24, set()
+        ids: list[int] = []
+        need: list[int] = []
+        known: list[int] = []
+        parts: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal chunk, size
+            hashes = np.concatenate(parts)
+            owners = np.repeat(np.arange(len(parts), dtype="<u2"), [len(p) for p in parts])
+            order = np.argsort(hashes, kind="stable")
+            hashes, owners = hashes[order], owners[order]
+            cuts = np.searchsorted(hashes, np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits))
+            runs = [(r, h.astype("<u8").tobytes() + o.tobytes()) for r, (h, o) in enumerate(zip(np.split(hashes, cuts), np.split(owners, cuts))) if len(h)]
+            runs.append((-1 - chunk % 97, np.array([ids, need, known], "<i8").tobytes()))
+            out = pa.RecordBatch.from_arrays([pa.array([chunk] * len(runs), pa.int64()), pa.array([r for r, _ in runs], pa.int32()), pa.array([len(ids)] * len(runs), pa.int32()), pa.array([x for _, x in runs], pa.binary())], names=["chunk", "range", "docs", "payload"])
+            for x in (ids, need, known, parts):
+                x.clear()
+            chunk, size = chunk + 1, 0
+            return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in _in_parts(texts, _BATCH // 2):
-                signs, keys = [], []
-                for own in shingle_sets(texts[a:b]):
-                    # A set that this task has met gives the same rows again; they would be dropped later.
-                    if not len(own) or (key := set_key(own)[0]) in seen:
+                for name, own in zip(names[a:b], shingle_sets(texts[a:b])):
+                    if not len(own) or (key := set_key(own)) in seen:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(key)
-                    s = signatures(own, shipped.value)
-                    signs.append(s)
-                    keys.append(np.full(len(s), key, np.int64))
-                if signs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sign", "key"])
+                    first, shared = _asked(own)
+                    own = own[:first]
+                    rare = usual[(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                    ids.append(name)
+                    need.append(shared)
+                    known.append(int((~rare).sum()))
+                    parts.append(own[rare])
+                    size += first
+                    if size >= 1_000_000 or len(ids) >= 60_000:
+                        yield flush()
+        if ids:
+            yield flush()
+
+    return run
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """For one hash range: how many of each document's hashes are not alone. Headers pass."""
+    chunks, docs, payloads = table.column("chunk").to_pylist(), table.column("docs").to_pylist(), table.column("payload").to_pylist()
+    if table.column("range")[0].as_py() < 0:
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "header": pa.array([True] * len(chunks)), "payload": pa.array(payloads, pa.binary())})
+    hashes = [np.frombuffer(x, "<u8", len(x) // 10) for x in payloads]
+    _, place, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    shared, at, out = count[place] > 1, 0, []
+    for h, x, n in zip(hashes, payloads, docs):
+        owners = np.frombuffer(x, "<u2", len(h), 8 * len(h))
+        out.append(np.minimum(np.bincount(owners[shared[at : at + len(h)]], minlength=n), 65535).astype("<u2").tobytes())
+        at += len(h)
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "header": pa.array([False] * len(chunks)), "payload": pa.array(out, pa.binary())})
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """The documents of one chunk that share enough."""
+    header = np.zeros((3, 0), np.int64)
+    total: np.ndarray | int = 0
+    for is_header, x in zip(table.column("header").to_pylist(), table.column("payload").to_pylist()):
+        if is_header:
+            header = np.frombuffer(x, "<i8").reshape(3, -1)
+        else:
+            total = total + np.frombuffer(x, "<u2").astype(np.int64)
+    ids, need, known = header
+    return pa.table({"rep": pa.array(ids[total + known >= need], pa.int64())})
+
+
+def hopeful(docs: DataFrame, frequency, shingles: int) -> DataFrame:
+    """(rep) of documents that share enough of their least hashes to have a partner."""
+    bits = min(20, max(6, int(np.ceil(np.log2(max(1, shingles) / 4_000_000 + 1)))))
+    asked = docs.where("doc_id is not null").select("doc_id", text_or_empty("text").alias("text")).mapInArrow(_ask(frequency, bits), "chunk long, range int, docs int, payload binary")
+    answers = asked.groupBy("range").applyInArrow(_answer, "chunk long, header boolean, payload binary")
+    return answers.groupBy("chunk").applyInArrow(_settle, "rep long")
+
+
+def _postings(sets: DataFrame, frequency) -> DataFrame:
+    """(sign, key): the signatures of (k1, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                signs = [signatures(np.frombuffer(x, "<u8"), frequency.value) for x in part.column(1).to_pylist()]
+                keys = np.repeat(part.column(0).to_numpy(), [len(s) for s in signs])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(keys)], names=["sign", "key"])
 
-    return docs.select(text_or_empty("text").alias("text")).mapInArrow(run, "sign long, key long")
+    return sets.select("k1", "tokens").mapInArrow(run, "sign long, key long")
 
 
 def candidate_edges(postings: DataFrame) -> DataFrame:
@@ -236,7 +328,7 @@ def _verify(rows: DataFrame) -> DataFrame:
 
 
 def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(rep, k1, k2, tokens) of documents whose id may be in ``needed`` (rep): a bitmap of fixed size decides."""
+    """(k1, k2, tokens) of documents whose id may be in ``needed`` (rep): a bitmap of fixed size decides."""
     place = F.pmod(F.xxhash64("rep"), F.lit(BITMAP)) + 1
     bits = needed.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
     whole = np.zeros(BITMAP // 8, np.uint8)
@@ -247,15 +339,15 @@ def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column(1).to_numpy() - 1
+            p = batch.column(0).to_numpy() - 1
             own = batch.filter(pa.array((shipped.value[p >> 3] >> (p & 7)) & 1 == 1))
-            ids, texts = own.column(0).to_pylist(), own.column(2).to_pylist()
+            texts = own.column(1).to_pylist()
             for a, b in _in_parts(texts):
-                rows = [(i, *set_key(s), s.astype("<u8").tobytes()) for i, s in zip(ids[a:b], shingle_sets(texts[a:b]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["rep", "k1", "k2", "tokens"])
+                rows = [(*set_key(s), s.astype("<u8").tobytes()) for s in shingle_sets(texts[a:b]) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], names=["k1", "k2", "tokens"])
 
     rows = docs.select(F.col("doc_id").alias("rep"), text_or_empty("text").alias("text")).where("rep is not null")
-    return rows.select("rep", place.cast("long").alias("p"), "text").mapInArrow(run, "rep long, k1 long, k2 long, tokens binary")
+    return rows.select(place.cast("long").alias("p"), "text").mapInArrow(run, "k1 long, k2 long, tokens binary")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,8 +355,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = materialize(docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(first_pass, FIRST), "sizes")
     sizes = first.where("kind = 0").select("doc_id", "n", "k1", "k2")
-    edges = candidate_edges(_postings(docs, frequency_classes(first)))
-    candidates = connected(edges)
+    frequency = docs.sparkSession.sparkContext.broadcast(frequency_classes(first))
+    shingles = sizes.agg(F.sum("n")).first()[0] or 0
+    needed = _needed_sets(docs, materialize(hopeful(docs, frequency, shingles), "hopeful"))
+    sets = materialize(needed.groupBy("k1", "k2").agg(F.first("tokens").alias("tokens")), "sets")
+    candidates = connected(candidate_edges(_postings(sets, frequency)))
     reps = sizes.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     near = materialize(reps.join(candidates.toDF("k1", "group"), "k1").select("rep", "n", "k1", "k2", "group"), "near")
     placed = materialize(_in_blocks(near), "blocks")
@@ -274,8 +369,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tasks = meets.select("group", "i", "j", F.xxhash64("group", "i", "j").alias("task"))
     seats = tasks.select("group", F.col("i").alias("block"), F.lit(0).alias("side"), "task").union(tasks.where("i < j").select("group", F.col("j").alias("block"), F.lit(1).alias("side"), "task"))
     held = materialize(placed.join(seats, ["group", "block"]).select("rep", "k1", "k2", "task", "side"), "seats")
-    sets = _needed_sets(docs, placed.select("rep")).dropDuplicates(["rep", "k1", "k2"])
-    links = _verify(held.join(sets, ["rep", "k1", "k2"]))
+    links = _verify(held.join(sets, ["k1", "k2"]))
     roots = connected(links)
     labelled = materialize(sizes.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).join(roots.toDF("rep", "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root")), "labels")
     return sizes.join(labelled, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
