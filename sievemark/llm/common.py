@@ -71,3 +71,15 @@ def _clean() -> None:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names like ``stems`` that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

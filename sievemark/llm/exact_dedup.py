@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import materialize, read_table, text_or_empty
+from sievemark.llm.common import materialize, read_table, text_or_empty, unused
 
 CHUNK_MIN, CHUNK_MAX = 256, 2048
 #: Rows of one group of equal texts are spread over so many salts.
@@ -94,10 +94,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat both id and text, one."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_key"), F.col("text_sha256").alias("_sha"))
-    own = docs.select("*", key.alias("_key"), F.sha2(text_or_empty(text_col), 256).alias("_sha"))
-    return own.join(kept, ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"]).select(*docs.columns)
+    key, sha = unused(docs, "_key", "_sha")
+    least = F.lit(-(2**63))
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", least).alias(key), F.col("text_sha256").alias(sha))
+    own = docs.select("*", F.coalesce(F.col(id_col).cast("long"), least).alias(key), F.sha2(text_or_empty(text_col), 256).alias(sha))
+    return own.join(kept, [key, sha], "left_semi").dropDuplicates([key, sha]).select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import WORD, materialize, read_table, text_or_empty
+from sievemark.llm.common import WORD, materialize, read_table, text_or_empty, unused
 
 WEIGHTS, MAX_EPOCHS, ROWS_PER_RANGE, SEED = (5, 2, 1), 3, 1024, "mix-1"
 
@@ -78,14 +78,15 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     Texts that are taken whole stay as they are; rows of which nothing is taken go. Rows that repeat
     an id each take their id's mean share.
     """
-    each = mix(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias("_key"))
-    taken = each.agg(F.max("size").alias("_size"), F.floor(F.avg("taken")).alias("_taken")).where("_taken > 0 and _key is not null")
+    key, cuts, cut = unused(docs, "_key", "_cuts", "_cut")
+    each = mix(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias(key))
+    taken = each.agg(F.max("size").alias("_size"), F.floor(F.avg("taken")).alias("_taken")).where((F.col("_taken") > 0) & F.col(key).isNotNull())
     none = F.array().cast("array<int>")
     part = (F.col("_taken") % F.col("_size")).cast("int")
     repeats = F.concat(F.array_repeat(F.lit(0), F.floor(F.col("_taken") / F.col("_size")).cast("int")), F.when(part > 0, F.array(part)).otherwise(none))
-    grown = docs.withColumn("_key", F.col(id_col).cast("long")).join(taken.select("_key", repeats.alias("_cuts")), "_key").withColumn("_cut", F.explode("_cuts"))
+    grown = docs.withColumn(key, F.col(id_col).cast("long")).join(taken.select(key, repeats.alias(cuts)), key).withColumn(cut, F.explode(cuts))
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    text = F.when(F.col("_cut") > 0, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_cut"), F.lit(1))), "")).otherwise(F.col(text_col))
+    text = F.when(F.col(cut) > 0, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col(cut), F.lit(1))), "")).otherwise(F.col(text_col))
     return grown.withColumn(text_col, text).select(*docs.columns)
 
 

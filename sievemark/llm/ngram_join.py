@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import materialize, read_table, text_or_empty
+from sievemark.llm.common import materialize, read_table, text_or_empty, unused
 from sievemark.llm.components import connected
 from sievemark.llm.packing import _task
 from sievemark.llm.shingles import mix, set_key, shingle_sets
@@ -42,6 +42,8 @@ from sievemark.llm.shingles import mix, set_key, shingle_sets
 PERCENT, SLOT_BITS, RANGES = 80, 20, 256
 #: Slots of the bitmap of needed documents; blocks hold a 16th of their component within these bounds.
 BITMAP, BLOCK_LEAST, BLOCK_MOST, BLOCK_SHINGLES = 1 << 23, 128, 4096, 4_000_000
+#: Hashes of a range that one task answers for, about; ranges grow in number with the corpus.
+RANGE_HASHES = 500_000
 _BATCH = 1 << 21
 
 FIRST = "kind int, doc_id long, n long, k1 long, k2 long, slot int, counts binary"
@@ -226,7 +228,7 @@ def _settle(table: pa.Table) -> pa.Table:
 
 def hopeful(docs: DataFrame, frequency, shingles: int) -> DataFrame:
     """(rep) of documents that share enough of their least hashes to have a partner."""
-    bits = min(20, max(6, int(np.ceil(np.log2(max(1, shingles) / 4_000_000 + 1)))))
+    bits = min(20, max(3, int(np.ceil(np.log2(max(1, shingles) * 0.3 / RANGE_HASHES)))))
     asked = docs.where("doc_id is not null").select("doc_id", text_or_empty("text").alias("text")).mapInArrow(_ask(frequency, bits), "chunk long, range int, docs int, payload binary")
     answers = asked.groupBy("range").applyInArrow(_answer, "chunk long, header boolean, payload binary")
     return answers.groupBy("chunk").applyInArrow(_settle, "rep long")
@@ -377,8 +379,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, its least id, with all columns. Rows without an id stay."""
-    kept = jaccard_classes(docs, id_col, text_col).where("component_id = doc_id").select(F.col("doc_id").alias("_key")).distinct()
-    own = docs.where(F.col(id_col).isNotNull()).withColumn("_key", F.col(id_col).cast("long")).join(kept, "_key", "left_semi").dropDuplicates(["_key"])
+    (key,) = unused(docs, "_key")
+    kept = jaccard_classes(docs, id_col, text_col).where("component_id = doc_id").select(F.col("doc_id").alias(key)).distinct()
+    own = docs.where(F.col(id_col).isNotNull()).withColumn(key, F.col(id_col).cast("long")).join(kept, key, "left_semi").dropDuplicates([key])
     return own.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
 
 
