@@ -15,6 +15,7 @@ from sievemark.functions import model, uri as uris
 from sievemark.functions.regex import RegexSyntaxError, RegexUnsupportedError, is_unsafe, matcher
 from sievemark.plans import dialects as D
 from sievemark.plans import errors as E
+from sievemark.plans.metaschemas import texts
 
 
 @dataclass
@@ -145,7 +146,7 @@ class SchemaCatalog:
                     self.aliases.setdefault(base, home)
                 return home
             raise E.DuplicateResourceError(f"{home} is registered with other content")
-        if home in self.resources or home in self.aliases:
+        if home in self.resources or home in self.aliases or home in texts():
             raise E.DuplicateResourceError(f"{home} is taken")
         saved = dict(self.resources), dict(self.aliases)
         try:
@@ -173,7 +174,7 @@ class SchemaCatalog:
     def _check_against_metaschema(self, schema: Any, dialect: D.Dialect) -> None:
         from sievemark.operators.kernel import Evaluator
 
-        if dialect.uri in self.resources and not Evaluator(self).is_valid(dialect.uri, schema):
+        if not Evaluator(self).is_valid(dialect.uri, schema):
             raise E.MetaschemaValidationError("the schema doesn't follow its dialect's schema")
 
     def _open(self, uri: str, node: Any, dialect: D.Dialect, document: str, pointer: str) -> Resource:
@@ -261,6 +262,11 @@ class SchemaCatalog:
     # -- references ----------------------------------------------------------------------------
 
     def _load(self, uri: str) -> Any:
+        if uri in texts():
+            if uri not in self.resources:
+                # A bundled document is indexed on demand, is no document of the user's and isn't shipped.
+                self._walk(texts()[uri], self._open(uri, texts()[uri], self.dialect(texts()[uri]["$schema"]), uri, ""), "", "", 0)
+            return texts()[uri]
         for loader in self.loaders:
             try:
                 found = loader(uri)
@@ -305,7 +311,7 @@ class SchemaCatalog:
 
     def resource(self, uri: str) -> Resource:
         uri = self.aliases.get(uri, uri)
-        if uri not in self.resources and self.loaders:
+        if uri not in self.resources:
             self._load(uri)
             uri = self.aliases.get(uri, uri)
         if uri not in self.resources:
