@@ -17,7 +17,8 @@ from sievemark.functions import model
 from sievemark.functions import uri as uris
 from sievemark.operators import output as O
 from sievemark.operators import udf
-from sievemark.operators.columns import accessor, compile_columns
+from sievemark.operators.columns import COLUMN_BEHAVIOURS, accessor, compile_columns
+from sievemark.operators.kernel import register_behaviour
 from sievemark.plans.catalog import SchemaCatalog
 from sievemark.plans.errors import NeedsKernel
 
@@ -87,14 +88,17 @@ def validate(df: DataFrame, catalog: SchemaCatalog, uri: str, doc: str, into: st
 
 
 def evaluate(
-    df: DataFrame, catalog: SchemaCatalog, uri: str, doc: str, into: str = "result", output: str | None = None, annotations: bool | O.Selection = False, error_params: bool = False, trace: bool = False, verbose: bool | None = None, fail_fast: bool = False, nulls: str = "omit", text: bool = True
+    df: DataFrame, catalog: SchemaCatalog, uri: str, doc: str, into: str = "result", output: str | None = None, annotations: bool | O.Selection = False, error_params: bool = False, trace: bool = False, verbose: bool | None = None, fail_fast: bool = False, nulls: str = "omit", text: bool = True, positions: bool = False
 ) -> DataFrame:
-    """``df`` with the whole result; options that the output can't honour are refused here."""
-    O.admit(output or "basic", bool(annotations), error_params, trace, verbose)
+    """``df`` with the whole result; options that the output can't honour are refused here.
+
+    ``positions`` maps the input locations of the result's units to places in the document's text.
+    """
+    O.admit(output or "basic", bool(annotations), error_params, trace, verbose, positions)
     selection = annotations if isinstance(annotations, O.Selection) else O.EVERYTHING if annotations else None
     kind = df.schema[doc].dataType
     column = F.col(doc) if text or not isinstance(kind, T.StringType) else F.to_json(F.col(doc))
-    run = udf.result_udf(catalog, uri, output, selection, error_params, trace, bool(verbose), fail_fast)
+    run = udf.result_udf(catalog, uri, output, selection, error_params, trace, bool(verbose), fail_fast, positions)
     return df.withColumn(into, run(_as_text(column, kind, nulls)))
 
 
@@ -133,6 +137,14 @@ def to_sql(catalog: SchemaCatalog, uri: str, df: DataFrame, doc: str, **options)
     return df.select(found.column)._jdf.queryExecution().analyzed().expressions().head().sql()
 
 
+def register_keyword(name: str, kernel_fn, column_fn=None) -> None:
+    """A custom keyword behaviour for vocabularies: ``kernel_fn(value, unit)`` returns ``check(instance, frame)``;
+    ``column_fn(value, accessor)`` returns a Column that is never NULL, for schemas that stay Columns."""
+    register_behaviour(name, kernel_fn)
+    if column_fn is not None:
+        COLUMN_BEHAVIOURS[name] = column_fn
+
+
 def register_sql(spark: SparkSession, catalog: SchemaCatalog, uri: str, name: str) -> None:
     """``name(text)`` is the verdict and ``name_errors(text)`` a table function of errors, in SQL."""
     spark.udf.register(name, udf.verdict_udf(catalog, uri))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from sievemark.functions import formats, model
 from sievemark.functions.regex import RegexUnsupportedError, to_java
+from sievemark.operators.kernel import BEHAVIOURS
 from sievemark.plans.catalog import SchemaCatalog, Target
 from sievemark.plans.errors import NeedsKernel
 
@@ -195,6 +196,10 @@ class Variant:
         raise NeedsKernel("uniqueItems over VARIANT")
 
 
+#: Custom behaviours as Columns: name to a function (value, accessor) -> Column, never NULL.
+COLUMN_BEHAVIOURS: dict[str, Any] = {}
+
+
 class Builder:
     """Compiles schemas of a catalog; ``stack`` holds the positions being compiled, to find recursion."""
 
@@ -230,7 +235,9 @@ class Builder:
                 found = build(node[keyword], node, target, x, inner if track else None)
                 if found is not None:
                     parts.append(found)
-            elif keyword in node and behaviour in ("$dynamicRef", "$recursiveRef"):
+            elif keyword in node and behaviour in COLUMN_BEHAVIOURS:
+                parts.append(COLUMN_BEHAVIOURS[behaviour](node[keyword], x))
+            elif keyword in node and (behaviour in ("$dynamicRef", "$recursiveRef") or behaviour in BEHAVIOURS):
                 raise NeedsKernel(behaviour, target.location)
         good = every(parts)
         if covered is not None:

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import model
 from sievemark.operators import output as O
-from sievemark.operators.kernel import Evaluator
+from sievemark.operators.kernel import BEHAVIOURS, Evaluator
 from sievemark.plans.catalog import SchemaCatalog
 from sievemark.plans.errors import SchemaError
+from sievemark.sources.positions import parse_with_ranges
 
 UNIT = "struct<evaluationPath:string,schemaLocation:string,inputLocation:string,{}>"
 ERROR = UNIT.format("error:string,keyword:string,vocabulary:string,params:string")
 ANNOTATION = UNIT.format("keyword:string,vocabulary:string,annotation:string")
-RESULT = f"struct<valid:boolean,errors:array<{ERROR}>,annotations:array<{ANNOTATION}>,dropped_errors:array<{ERROR}>,dropped_annotations:array<{ANNOTATION}>,output_document:string,trace:string,engine_error:struct<class:string,message:string,schemaLocation:string>>"
+RESULT = f"struct<valid:boolean,errors:array<{ERROR}>,annotations:array<{ANNOTATION}>,dropped_errors:array<{ERROR}>,dropped_annotations:array<{ANNOTATION}>,output_document:string,trace:string,positions:map<string,struct<line:int,column:int,start:int,end:int>>,engine_error:struct<class:string,message:string,schemaLocation:string>>"
 
 
 def _unit(*names: str) -> pa.DataType:
@@ -25,7 +26,7 @@ def _unit(*names: str) -> pa.DataType:
 
 _ERRORS, _NOTES = _unit("error", "keyword", "vocabulary", "params"), _unit("keyword", "vocabulary", "annotation")
 _RESULT = pa.struct(
-    [("valid", pa.bool_()), ("errors", _ERRORS), ("annotations", _NOTES), ("dropped_errors", _ERRORS), ("dropped_annotations", _NOTES), ("output_document", pa.string()), ("trace", pa.string()), ("engine_error", pa.struct([("class", pa.string()), ("message", pa.string()), ("schemaLocation", pa.string())]))]
+    [("valid", pa.bool_()), ("errors", _ERRORS), ("annotations", _NOTES), ("dropped_errors", _ERRORS), ("dropped_annotations", _NOTES), ("output_document", pa.string()), ("trace", pa.string()), ("positions", pa.map_(pa.string(), pa.struct([("line", pa.int32()), ("column", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))), ("engine_error", pa.struct([("class", pa.string()), ("message", pa.string()), ("schemaLocation", pa.string())]))]
 )
 
 
@@ -34,17 +35,36 @@ def evaluator(spec: str) -> Evaluator:
     return Evaluator(SchemaCatalog.from_spec(spec))
 
 
+class Shipped:
+    """A catalog on its way to executors: its spec, and the functions that users gave."""
+
+    def __init__(self, catalog: SchemaCatalog) -> None:
+        self.spec, self.formats, self.behaviours = catalog.spec(), dict(catalog.custom_formats), dict(BEHAVIOURS)
+        self.engine = None
+
+    def get(self) -> Evaluator:
+        if not self.formats and not self.behaviours:
+            return evaluator(self.spec)
+        if self.engine is None:
+            BEHAVIOURS.update(self.behaviours)
+            self.engine = Evaluator(SchemaCatalog.from_spec(self.spec, self.formats))
+        return self.engine
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"engine": None}
+
+
 def _dump(x) -> str:
     return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
 
 
 def verdict_udf(catalog: SchemaCatalog, uri: str):
     """text -> boolean: NULL for NULL and for text that is no JSON."""
-    spec = catalog.spec()
+    shipped = Shipped(catalog)
 
     @F.arrow_udf("boolean")
     def kernel(texts: pa.Array) -> pa.Array:
-        engine = evaluator(spec)
+        engine = shipped.get()
         unit, enter, parse = engine.entry(uri), engine.enter, model.parse
         out = []
         for t in texts.to_pylist():
@@ -62,9 +82,9 @@ def verdict_udf(catalog: SchemaCatalog, uri: str):
     return kernel
 
 
-def result_udf(catalog: SchemaCatalog, uri: str, output: str | None, selection: O.Selection | None, params: bool, trace: bool, verbose: bool, fail_fast: bool):
+def result_udf(catalog: SchemaCatalog, uri: str, output: str | None, selection: O.Selection | None, params: bool, trace: bool, verbose: bool, fail_fast: bool, positions: bool = False):
     """text -> result struct. A row that can't be evaluated has ``engine_error``, or raises with fail_fast."""
-    spec = catalog.spec()
+    shipped = Shipped(catalog)
 
     def units(found: list, value: str) -> list:
         return [u | {value: _dump(u[value])} if value in u else u for u in found]
@@ -89,13 +109,17 @@ def result_udf(catalog: SchemaCatalog, uri: str, output: str | None, selection:
                 row["dropped_annotations"] = units(O.annotations(root, selection, True), "annotation")
         if output is not None:
             row["output_document"] = _dump(O.document(root, output, selection, verbose))
+        if positions:
+            _, found = parse_with_ranges(text)
+            pointers = {u["inputLocation"] for k in ("errors", "annotations", "dropped_errors", "dropped_annotations") for u in row.get(k, ())}
+            row["positions"] = [(p, dict(zip(("line", "column", "start"), found.place(found.values[p][0])), end=found.values[p][1])) for p in sorted(pointers) if p in found.values]
         if trace:
             row["trace"] = _dump(O.trace(root))
         return row
 
     @F.arrow_udf(RESULT)
     def kernel(texts: pa.Array) -> pa.Array:
-        engine = evaluator(spec)
+        engine = shipped.get()
         return pa.array([one(engine, t) for t in texts.to_pylist()], _RESULT)
 
     return kernel

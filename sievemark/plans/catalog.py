@@ -71,18 +71,21 @@ class SchemaCatalog:
         self.resources: dict[str, Resource] = {}
         self.aliases: dict[str, str] = {}
         self.custom_formats: dict[str, Callable[[Any], bool]] = {}
-        self.custom_keywords: dict[str, Callable] = {}
+        self.own_dialects: list[tuple[str, list[str], str]] = []
 
     # -- shipping ------------------------------------------------------------------------------
 
     def spec(self) -> str:
         """The catalog as text: options and documents in order of registration."""
-        return json.dumps({"options": self.options, "documents": [[u, d, self.documents[u]] for u, (_, d) in self.given.items()]})
+        return json.dumps({"options": self.options, "dialects": self.own_dialects, "documents": [[u, d, self.documents[u]] for u, (_, d) in self.given.items()]})
 
     @classmethod
-    def from_spec(cls, text: str) -> SchemaCatalog:
+    def from_spec(cls, text: str, formats: dict[str, Callable[[Any], bool]] | None = None) -> SchemaCatalog:
         data = json.loads(text)
         out = cls(**data["options"])
+        out.custom_formats.update(formats or {})
+        for uri, vocabularies, draft in data["dialects"]:
+            out.register_dialect(uri, vocabularies, draft)
         for uri, dialect, schema in data["documents"]:
             out.register(schema, uri, dialect)
         return out
@@ -94,6 +97,11 @@ class SchemaCatalog:
         if unknown:
             raise E.UnknownVocabularyError(f"unknown vocabularies {unknown}")
         self.dialects[uri.rstrip("#")] = D.assemble(uri.rstrip("#"), draft, vocabularies, self.vocabularies)
+        self.own_dialects.append((uri, vocabularies, draft))
+
+    def register_format(self, name: str, test: Callable[[str], bool]) -> None:
+        """A format of one's own, asserted where formats are; it goes to executors with the schema."""
+        self.custom_formats[name] = test
 
     def register_vocabulary(self, uri: str, keywords: dict[str, str]) -> None:
         """Custom keywords by name of a behaviour that ``operators.kernel.register_behaviour`` knows."""

@@ -138,6 +138,29 @@ def test_records(spark):
     assert E.locations(spark, c).where("keyword = 'maximum'").count() == 1
 
 
+def test_custom_keywords_and_formats(spark):
+    vocabulary, dialect = "https://t.example/vocab", "https://t.example/dialect"
+    core = "https://json-schema.org/draft/2020-12/vocab/"
+    E.register_keyword("test-even", lambda v, unit: lambda x, f: not v or type(x) is not int or x % 2 == 0, lambda v, x: E.F.coalesce(~x.is_kind("integer") | (x.number() % 2 == 0), E.F.lit(True)) if v else E.F.lit(True))
+    c = SchemaCatalog(assert_formats=True)
+    c.register_vocabulary(vocabulary, {"even": "test-even"})
+    c.register_dialect(dialect, [core + "core", core + "applicator", core + "format-assertion", vocabulary])
+    c.register_format("short", lambda s: len(s) < 3)
+    u = c.register({"$schema": dialect, "properties": {"a": {"even": True}}}, "https://t.example/k")
+    w = c.register({"$schema": dialect, "properties": {"b": {"format": "short"}}}, "https://t.example/w")
+    df = spark.createDataFrame([(0, '{"a":2,"b":"xx"}'), (1, '{"a":3,"b":"xxx"}')], "i int, doc string")
+    for options in ({"tier": "kernel"}, {"tier": "variant", "well_formed": True}):
+        assert [r.valid for r in E.validate(df, c, u, "doc", **options).orderBy("i").collect()] == [True, False]
+    assert [r.valid for r in E.validate(df, c, w, "doc", well_formed=True).orderBy("i").collect()] == [True, False]
+
+
+def test_positions_in_results(spark):
+    c, u = catalog_of({"properties": {"a": {"maximum": 3}}})
+    df = spark.createDataFrame([('{\n  "a": 5}',)], "doc string")
+    found = E.evaluate(df, c, u, "doc", positions=True).first().result.positions
+    assert {k: tuple(v) for k, v in found.items()} == {"/a": (2, 8, 9, 10)}
+
+
 def test_sql_surface(spark):
     c, u = catalog_of({"properties": {"a": {"maximum": 3}}})
     E.register_sql(spark, c, u, "t_valid")
