@@ -287,7 +287,7 @@ def test_shingle_sizes():
 
 def test_components(spark):
     g = random.Random(1)
-    pairs = [(g.randrange(400), g.randrange(400)) for _ in range(250)] + [(500 + k, 501 + k) for k in range(60)] + [(1000, 1001 + k) for k in range(200)]
+    pairs = [(g.randrange(400), g.randrange(400)) for _ in range(250)] + [(500 + k, 501 + k) for k in range(12)] + [(1000, 1001 + k) for k in range(200)]
     root = {v: v for p in pairs for v in p}
 
     def find(v):
