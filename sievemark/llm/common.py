@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+_own_roots: list[str] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         import tempfile
 
         root = tempfile.mkdtemp(prefix="sievemark-")
+        _own_roots.append(root)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -66,7 +69,9 @@ def _clean() -> None:
         try:
             discard(spark, path)
         except Exception:  # the session may have ended first
-            return
+            break
+    for root in _own_roots:
+        shutil.rmtree(root, ignore_errors=True)
 
 
 def text_or_empty(col: str = "text"):

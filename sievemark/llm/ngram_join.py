@@ -11,7 +11,8 @@
    Rare ones are indexed singly. Where the prefix reaches frequent shingles it is extended by c more,
    the frequent ones are dealt into c classes by hash, and 2-combinations within a class are indexed:
    similar sets then share c + 1 of the extended prefix, so a rare one or two of some class. c depends
-   on the size band, and a set indexes its own band and the next, so similar sets meet in one.
+   on the size band, which is part of every signature, and a set indexes its own band and the next, so
+   similar sets meet in one and sets of far-apart sizes don't.
 4. Sets that share a signature are joined to candidate components; components of more than a block
    are compared block pair by block pair (of sets in size order, so far-apart sizes never meet), with
    exact intersections of the hash sets. Each comparison returns spanning links, never pairs.
@@ -34,16 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import materialize, read_table, text_or_empty, unused
+from sievemark.llm.common import materialize, read_table, release, text_or_empty, unused
 from sievemark.llm.components import connected
 from sievemark.llm.packing import _task
 from sievemark.llm.shingles import mix, set_key, shingle_sets
 
 PERCENT, SLOT_BITS, RANGES = 80, 20, 256
-#: Slots of the bitmap of needed documents; blocks hold a 16th of their component within these bounds.
-BITMAP, BLOCK_LEAST, BLOCK_MOST, BLOCK_SHINGLES = 1 << 23, 128, 4096, 4_000_000
+#: Slots of the bitmap of needed documents; blocks hold a 32nd of their component within these bounds.
+BITMAP, BLOCK_LEAST, BLOCK_MOST, BLOCK_SHINGLES = 1 << 23, 64, 4096, 4_000_000
 #: Hashes of a range that one task answers for, about; ranges grow in number with the corpus.
-RANGE_HASHES = 500_000
+RANGE_HASHES = 250_000
 _BATCH = 1 << 21
 
 FIRST = "kind int, doc_id long, n long, k1 long, k2 long, slot int, counts binary"
@@ -119,11 +120,12 @@ def signatures(own: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     order = np.argsort(klass, kind="stable")
     rare = int((klass == 0).sum())
     single = own[order[: min(prefix, rare)]]
-    if rare >= prefix:
-        return single
-    parts = [single]
+    parts = []
     b = band(n)
     for scheme in (b, b + 1):
+        parts.append(mix(single + np.uint64(scheme * 0xA24BAED4963EE407 % (1 << 64))))
+        if rare >= prefix:
+            continue
         c = _classes_of(scheme)
         often = own[order[rare : min(n, prefix + c)]]
         home = (mix(often + np.uint64(scheme)) % np.uint64(c)).astype(np.int64)
@@ -147,12 +149,34 @@ def _asked(own: np.ndarray) -> tuple[int, int]:
     return min(n, n - -(-PERCENT * n // 100) + n // 10 + 1), PERCENT * n // 1000 + 1
 
 
-def _ask(frequency: np.ndarray, range_bits: int):
+def _of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(id, hashes to ask about, number that must be shared) of documents; a task asks once for equal sets."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for a, b in _in_parts(texts, _BATCH // 2):
+            for name, own in zip(names[a:b], shingle_sets(texts[a:b])):
+                if len(own) and (key := set_key(own)) not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(key)
+                    first, shared = _asked(own)
+                    yield name, own[:first], shared
+
+
+def _of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """The same of whole sets, of which 80 % must be shared."""
+    for batch in batches:
+        for name, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = np.frombuffer(tokens, "<u8")
+            yield name, own, -(-PERCENT * len(own) // 100)
+
+
+def _ask(frequency, range_bits: int, questions):
     """Rows (chunk, range, payload): sorted hashes and their owners' numbers, and a header a chunk."""
 
-    def run(batches: Iterator[pa.RecordBatch], shipped=frequency) -> Iterator[pa.RecordBatch]:
-        usual = shipped.value == 0
-        chunk, seen = _task() << 24, set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual = frequency.value == 0
+        chunk = _task() << 24
         ids: list[int] = []
         need: list[int] = []
         known: list[int] = []
@@ -174,24 +198,15 @@ def _ask(frequency: np.ndarray, range_bits: int):
             chunk, size = chunk + 1, 0
             return out
 
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in _in_parts(texts, _BATCH // 2):
-                for name, own in zip(names[a:b], shingle_sets(texts[a:b])):
-                    if not len(own) or (key := set_key(own)) in seen:
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(key)
-                    first, shared = _asked(own)
-                    own = own[:first]
-                    rare = usual[(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-                    ids.append(name)
-                    need.append(shared)
-                    known.append(int((~rare).sum()))
-                    parts.append(own[rare])
-                    size += first
-                    if size >= 1_000_000 or len(ids) >= 60_000:
-                        yield flush()
+        for name, own, shared in questions(batches):
+            rare = usual[(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+            ids.append(name)
+            need.append(shared)
+            known.append(int((~rare).sum()))
+            parts.append(own[rare])
+            size += len(own)
+            if size >= 1_000_000 or len(ids) >= 60_000:
+                yield flush()
         if ids:
             yield flush()
 
@@ -226,10 +241,10 @@ def _settle(table: pa.Table) -> pa.Table:
     return pa.table({"rep": pa.array(ids[total + known >= need], pa.int64())})
 
 
-def hopeful(docs: DataFrame, frequency, shingles: int) -> DataFrame:
-    """(rep) of documents that share enough of their least hashes to have a partner."""
-    bits = min(20, max(3, int(np.ceil(np.log2(max(1, shingles) * 0.3 / RANGE_HASHES)))))
-    asked = docs.where("doc_id is not null").select("doc_id", text_or_empty("text").alias("text")).mapInArrow(_ask(frequency, bits), "chunk long, range int, docs int, payload binary")
+def hopeful(rows: DataFrame, questions, frequency, hashes: int) -> DataFrame:
+    """(rep): the ids in ``rows`` that share enough of the hashes they ask about; ``hashes`` in all."""
+    bits = min(20, max(6, int(np.ceil(np.log2(max(1, hashes) / RANGE_HASHES)))))
+    asked = rows.mapInArrow(_ask(frequency, bits, questions), "chunk long, range int, docs int, payload binary")
     answers = asked.groupBy("range").applyInArrow(_answer, "chunk long, header boolean, payload binary")
     return answers.groupBy("chunk").applyInArrow(_settle, "rep long")
 
@@ -307,7 +322,7 @@ def _in_blocks(near: DataFrame) -> DataFrame:
     each = near.groupBy("group", "n").agg(F.count(F.lit(1)).alias("equal"))
     own = Window.partitionBy("group")
     m, tokens = F.sum("equal").over(own), F.sum(F.col("equal") * F.col("n")).over(own)
-    lot = F.greatest(F.lit(16), F.least(F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.ceil(m / 16))), F.ceil(F.lit(BLOCK_SHINGLES) * m / tokens)))
+    lot = F.greatest(F.lit(16), F.least(F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.ceil(m / 32))), F.ceil(F.lit(BLOCK_SHINGLES) * m / tokens)))
     start = F.sum("equal").over(own.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("equal")
     sized = materialize(each.select("group", "n", "equal", m.alias("m"), start.alias("start"), lot.alias("lot")).where("m > 1"), "lots")
     block = F.floor((F.col("start") + F.pmod(F.xxhash64("rep"), F.col("equal"))) / F.col("lot")).cast("int")
@@ -359,8 +374,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = first.where("kind = 0").select("doc_id", "n", "k1", "k2")
     frequency = docs.sparkSession.sparkContext.broadcast(frequency_classes(first))
     shingles = sizes.agg(F.sum("n")).first()[0] or 0
-    needed = _needed_sets(docs, materialize(hopeful(docs, frequency, shingles), "hopeful"))
-    sets = materialize(needed.groupBy("k1", "k2").agg(F.first("tokens").alias("tokens")), "sets")
+    asking = docs.where("doc_id is not null").select("doc_id", text_or_empty("text").alias("text"))
+    some = materialize(hopeful(asking, _of_texts, frequency, int(shingles * 0.3)), "hopeful")
+    first_sets = materialize(_needed_sets(docs, some).groupBy("k1", "k2").agg(F.first("tokens").alias("tokens")), "sets")
+    # Once more, whole sets among themselves: what is left has 80 % of its shingles elsewhere.
+    total = first_sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    fewer = materialize(hopeful(first_sets.select("k1", "tokens"), _of_sets, frequency, total // 8).distinct(), "hopeful")
+    sets = materialize(first_sets.join(fewer.toDF("k1"), "k1"), "sets")
+    release(first_sets)
     candidates = connected(candidate_edges(_postings(sets, frequency)))
     reps = sizes.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     near = materialize(reps.join(candidates.toDF("k1", "group"), "k1").select("rep", "n", "k1", "k2", "group"), "near")
