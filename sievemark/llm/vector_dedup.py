@@ -8,11 +8,16 @@ cells nearest to it in order of distance, as many as ``probes_for`` finds to rea
 on the sample against brute force. A vector meets the members of the cells it visits; cells are
 compared block by block, so a crowded cell is many tasks, each of bounded size.
 
+Each length of vector is a space of its own, and all lengths go through the same steps together. The
+``GRIDS`` most frequent lengths and every other of more than ``sample`` vectors have a grid; a length
+of fewer is one cell, so its vectors meet all of their label and length and the result is exact.
+
 A pair may meet twice, from either side; it is counted from the side of the smaller id, or from
 the only side that visits. Tasks return link counts and spanning links, never pairs.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and
-vectors without a label, link with nothing; vectors of different lengths never meet; repeated rows
+vectors without a label, link with nothing; vectors of different lengths never meet; those of one
+component are compared by sign; repeated rows
 of an id are one vector each and link with each other; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -24,13 +29,14 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm.common import materialize, read_table
 from sievemark.llm.components import connected
 
-LEAST, SAMPLE, WORDS, BLOCK, TARGET, MARGIN = 0.93, 4096, 16, 512, 0.999, 1.5
+LEAST, SAMPLE, WORDS, BLOCK, TARGET, MARGIN, GRIDS = 0.93, 4096, 16, 512, 0.999, 1.5, 16
 
 
 def fit_codebook(x: np.ndarray, words: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -94,7 +100,7 @@ class Grid:
 
 def _usable(vector: str):
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.col(vector).isNotNull() & (F.size(vector) > 1) & ~bad & F.exists(vector, lambda x: x != 0)
+    return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -107,15 +113,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 2))
 
 
-def _place(grid: Grid):
-    """Rows of a vector for the index (its cell) and for each cell that it visits."""
+def _place(grids: dict[int, Grid]):
+    """Rows of a vector for the index (its cell) and for each cell that it visits; without a grid, cell 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            order = grid.ranked(_unit(_matrix(batch.column(0))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], batch.column(0), pa.array(order, pa.list_(pa.int32()))], names=["rep", "weight", "label", "vector", "cells"])
+            lengths = pc.list_value_length(batch.column(0)).to_numpy()
+            gridded = np.isin(lengths, list(grids))
+            for length in [None, *np.unique(lengths[gridded]).tolist()]:
+                own = batch.filter(pa.array(~gridded if length is None else lengths == length))
+                if own.num_rows:
+                    order = [[0]] * own.num_rows if length is None else grids[length].ranked(_unit(_matrix(own.column(0))))
+                    yield pa.RecordBatch.from_arrays([*own.columns[1:], own.column(0), pa.array(order, pa.list_(pa.int32()))], names=["rep", "weight", "label", "length", "vector", "cells"])
 
     return run
 
@@ -163,40 +172,35 @@ def _compare(least: float):
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST, sample: int = SAMPLE, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``vectors``."""
-    spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
+    v = F.when(F.size(v) == 1, F.transform(v, lambda x: F.try_divide(x, F.abs(x)))).otherwise(v)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"), F.col(label_col).cast("string").alias("label"))
     rows = rows.withColumn("usable", F.coalesce(_usable("vector") & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
-    groups = materialize(rows.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "vectors")
-    taken = groups.select("vector", "label").withColumn("length", F.size("vector"))
-    lengths = [r["length"] for r in taken.groupBy("length").count().orderBy(F.desc("count"), "length").limit(16).collect()]
-    parts, edges = [], None
-    for length in lengths:
-        some = taken.where(F.col("length") == length).orderBy(F.xxhash64("vector", "label")).limit(sample).collect()
-        grid = Grid(_unit(np.array([r.vector for r in some])), np.array([r.label for r in some]), words, least)
-        placed = materialize(groups.where(F.size("vector") == length).select("vector", "rep", "weight", "label").mapInArrow(_place(grid), "rep long, weight long, label string, vector array<double>, cells array<int>"), "placed")
-        # Blocks of a cell: as many as its members need; visitors go to each, cut alike.
-        members = placed.groupBy("label", F.get("cells", 0).alias("cell")).agg(F.count(F.lit(1)).alias("m"))
-        lots = materialize(members.select("label", "cell", F.ceil(F.col("m") / block).cast("int").alias("lots")), "cells")
-        index = placed.withColumn("cell", F.get("cells", 0)).join(lots, ["label", "cell"]).withColumn("i", F.pmod(F.xxhash64("rep"), "lots"))
-        guests = placed.withColumn("cell", F.explode("cells")).join(lots, ["label", "cell"]).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lots").cast("bigint") - 1)))
-        loads = guests.groupBy("label", "cell", "i").agg(F.count(F.lit(1)).alias("g"))
-        cuts = materialize(loads.select("label", "cell", "i", F.ceil(F.col("g") / (4 * block)).cast("int").alias("cuts")), "loads")
-        columns = ["label", "cell", "i", "j", "side", "rep", "weight", "vector", "cells"]
-        held = index.join(cuts, ["label", "cell", "i"]).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts").cast("bigint") - 1))).withColumn("side", F.lit(0)).select(columns)
-        come = guests.join(cuts, ["label", "cell", "i"]).withColumn("j", F.pmod(F.xxhash64(F.lit(1), "rep"), "cuts").cast("bigint")).withColumn("side", F.lit(1)).select(columns)
-        parts.append(held.unionByName(come).groupBy("label", "cell", "i", "j").applyInArrow(_compare(least), "a long, n long, b long"))
-    if parts:
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.union(p)
-        found = materialize(found, "links")
-        edges = connected(found.where("b is not null").select("a", "b"))
-        counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-        known = groups.join(counts, "rep", "left").join(edges.toDF("rep", "root"), "rep", "left")
-        known = materialize(known.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "known")
-    else:
-        known = spark.createDataFrame([], "label string, vector array<double>, n_links long, component_id long")
+    groups = rows.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    groups = materialize(groups.withColumn("length", F.size("vector")), "vectors")
+    counted = groups.where("length > 1").groupBy("length").count()
+    wanted = counted.orderBy(F.desc("count"), "length").limit(GRIDS).union(counted.where(F.col("count") > sample))
+    grids = {}
+    for length in sorted({r["length"] for r in wanted.collect()}):
+        some = groups.where(F.col("length") == length).select("vector", "label").orderBy(F.xxhash64("vector", "label")).limit(sample).collect()
+        grids[length] = Grid(_unit(np.array([r.vector for r in some])), np.array([r.label for r in some]), words, least)
+    placed = materialize(groups.select("vector", "rep", "weight", "label", "length").mapInArrow(_place(grids), "rep long, weight long, label string, length int, vector array<double>, cells array<int>"), "placed")
+    # Blocks of a cell: as many as its members need; visitors go to each, cut alike.
+    place = ["label", "length", "cell"]
+    members = placed.groupBy("label", "length", F.get("cells", 0).alias("cell")).agg(F.count(F.lit(1)).alias("m"))
+    lots = materialize(members.select(*place, F.ceil(F.col("m") / block).cast("int").alias("lots")), "cells")
+    index = placed.withColumn("cell", F.get("cells", 0)).join(lots, place).withColumn("i", F.pmod(F.xxhash64("rep"), "lots"))
+    guests = placed.withColumn("cell", F.explode("cells")).join(lots, place).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lots").cast("bigint") - 1)))
+    loads = guests.groupBy(*place, "i").agg(F.count(F.lit(1)).alias("g"))
+    cuts = materialize(loads.select(*place, "i", F.ceil(F.col("g") / (4 * block)).cast("int").alias("cuts")), "loads")
+    columns = [*place, "i", "j", "side", "rep", "weight", "vector", "cells"]
+    held = index.join(cuts, [*place, "i"]).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts").cast("bigint") - 1))).withColumn("side", F.lit(0)).select(columns)
+    come = guests.join(cuts, [*place, "i"]).withColumn("j", F.pmod(F.xxhash64(F.lit(1), "rep"), "cuts").cast("bigint")).withColumn("side", F.lit(1)).select(columns)
+    found = materialize(held.unionByName(come).groupBy(*place, "i", "j").applyInArrow(_compare(least), "a long, n long, b long"), "links")
+    edges = connected(found.where("b is not null").select("a", "b"))
+    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    known = groups.join(counts, "rep", "left").join(edges.toDF("rep", "root"), "rep", "left")
+    known = materialize(known.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "known")
     # Back to the rows: unusable ones have no key and are spread by their id instead.
     key = F.when(F.col("usable"), F.xxhash64("label", "vector"))
     left = rows.withColumn("key", key)

@@ -326,6 +326,27 @@ def test_vector_dedup(spark):
     assert all(found[i].kept == (found[i].component_id == i) for i in range(n))
 
 
+def test_vector_dedup_of_many_lengths(spark):
+    g, rows = np.random.default_rng(11), []
+    for length in range(2, 24):
+        for _ in range(4):
+            c = g.normal(size=length)
+            rows += [(len(rows) + j, (c + g.normal(scale=0.05, size=length)).tolist(), j % 2) for j in range(4)]
+    signs = [(len(rows) + k, [x], 0) for k, x in enumerate([3.0, 0.25, -1.0, -7.5, 2.0, 0.0])]
+    df = spark.createDataFrame(rows + signs, "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r for r in vector_dedup.near_duplicates(df, block=4).collect()}
+    links = defaultdict(set)
+    for i, x, a in rows + signs[:-1]:
+        for j, y, b in rows + signs[:-1]:
+            if i != j and a == b and len(x) == len(y) and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93:
+                links[i].add(j)
+    assert len(found) == len(rows + signs)
+    # The 16 most frequent lengths, here 2 to 17, go by the grid; the others are exact.
+    assert all(found[i].n_links == len(links[i]) for i, x, _ in rows + signs if not 2 <= len(x) <= 17)
+    assert sum(len(links[i]) for i, x, _ in rows if len(x) > 17) >= 48
+    assert {found[i].component_id for i, _, _ in signs} == {signs[0][0], signs[2][0], signs[5][0]}
+
+
 def test_multi_sequence_order():
     g = np.random.default_rng(1)
     a, b = g.random(6), g.random(7)
