@@ -46,12 +46,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per row of ``docs``."""
+    return _takes(docs, None, weights, max_epochs, id_col, text_col, source_col, seed, rows_per_range).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _takes(docs: DataFrame, row: str | None, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``mix`` with the column ``row`` of ``docs``, if any, which then orders ties."""
+    number = [F.col(row).alias("row")] if row else []
+    names = ["row"] if row else []
     slim = materialize(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
             F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long").alias("key"),
+            *number,
         ),
         "mix",
     )
@@ -63,28 +71,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     ahead = F.sum("range_size").over(Window.partitionBy("none", "name").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("range_size")
     keyed = targets.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target")
     starts = part.select("none", "name", "range", ahead.alias("ahead")).join(keyed, ["none", "name"])
-    within = F.sum("size").over(Window.partitionBy("none", "name", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    within = F.sum("size").over(Window.partitionBy("none", "name", "range").orderBy("key", "doc_id", "size", *names).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = rows.withColumn("within", within).join(starts, ["none", "name", "range"])
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("ahead") - F.col("within")))
-    return placed.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"))
+    return placed.select(*names, "doc_id", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` as the mix takes it: a row for each whole repeat, then one with the words of a part.
 
-    Texts that are taken whole stay as they are; rows of which nothing is taken go. Rows that repeat
-    an id each take their id's mean share.
+    Texts that are taken whole stay as they are; rows of which nothing is taken go. Rows are numbered
+    and take by number, so rows without an id and rows that repeat one are taken like any other.
     """
     key, cuts, cut = unused(docs, "_key", "_cuts", "_cut")
-    each = mix(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias(key))
-    taken = each.agg(F.max("size").alias("_size"), F.floor(F.avg("taken")).alias("_taken")).where((F.col("_taken") > 0) & F.col(key).isNotNull())
-    none = F.array().cast("array<int>")
-    part = (F.col("_taken") % F.col("_size")).cast("int")
-    repeats = F.concat(F.array_repeat(F.lit(0), F.floor(F.col("_taken") / F.col("_size")).cast("int")), F.when(part > 0, F.array(part)).otherwise(none))
-    grown = docs.withColumn(key, F.col(id_col).cast("long")).join(taken.select(key, repeats.alias(cuts)), key).withColumn(cut, F.explode(cuts))
+    held = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    taken = _takes(held, key, id_col=id_col, text_col=text_col, **options).where("taken > 0")
+    none, size = F.array().cast("array<int>"), F.greatest(F.col("size"), F.lit(1))
+    part = (F.col("taken") % size).cast("int")
+    repeats = F.concat(F.array_repeat(F.lit(0), F.floor(F.col("taken") / size).cast("int")), F.when(part > 0, F.array(part)).otherwise(none))
+    grown = held.join(taken.select(F.col("row").alias(key), repeats.alias(cuts)), key).withColumn(cut, F.explode(cuts))
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     text = F.when(F.col(cut) > 0, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col(cut), F.lit(1))), "")).otherwise(F.col(text_col))
     return grown.withColumn(text_col, text).select(*docs.columns)

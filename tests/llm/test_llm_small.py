@@ -140,6 +140,18 @@ def test_mixing(spark):
     assert got == Counter({r.doc_id: r.taken for r in found if r.taken})
 
 
+def test_mix_takes_rows_without_an_id(spark):
+    rows = [(None if k % 3 else k // 4, f"r{k} " * (k % 17 + 1), "abc"[k % 5 % 3]) for k in range(120)] + [(None, "same", "a")] * 9
+    sizes, taken = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(WORD.findall(t))
+    out = mixing.apply_mix(table(spark, rows), rows_per_range=8).collect()
+    for r in out:
+        taken[r.source] += len(WORD.findall(r.text))
+    targets = brute_targets(sizes)
+    assert any(r.doc_id is None for r in out) and all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
+
+
 PATH = tokens.default_path()
 
 
