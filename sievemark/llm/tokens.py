@@ -2,7 +2,8 @@
 
 ``tokenizers`` defines the ids. Where the file is a byte-level BPE whose ids are its merge ranks, the
 same ranks are given to ``tiktoken``, which is several times as fast; its ids are compared with those
-of ``tokenizers`` when the encoder is made, and texts that it refuses go to ``tokenizers``.
+of ``tokenizers`` when the encoder is made, and texts that it refuses or that hold an added token of
+the file, such as ``<|endoftext|>``, go to ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import lru_cache
 
 #: The pre-tokenizer pattern of byte-level BPE files.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PROBES = ("It's  a test,\n\n 12 + 345 äöü ¿qué? \t x<|endoftext|>", " a b ", "", "日本語 emoji 🙂!!", "x" * 600 + " y")
+_PROBES = ("It's  a test,\n\n 12 + 345 äöü ¿qué? \t x<|endoftex|>", " a b ", "", "日本語 emoji 🙂!!", "x" * 600 + " y")
 
 
 def default_path() -> str:
@@ -47,11 +48,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
         self.vocabulary = self.tool.get_vocab_size()
         self.fast = None
         with open(path, encoding="utf-8") as f:
-            ranks = _ranks(json.load(f))
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        ranks = _ranks(spec)
         if ranks:
             import tiktoken
 
@@ -65,7 +67,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.fast is not None:
+        if self.fast is not None and not any(t in text for t in self.added):
             try:
                 return array("I", self.fast.encode_ordinary(text)).tobytes()
             except Exception:

@@ -166,6 +166,15 @@ def test_encoder_agrees_with_the_library():
         assert code.encode(t) == code.whole(t)
 
 
+def test_encoder_agrees_with_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    code, fresh = tokens.encoder(PATH), Tokenizer.from_file(PATH)
+    assert code.fast is not None and fresh.encode("x<|endoftext|> y", add_special_tokens=False).ids == [87, 50256, 331]
+    for t in ["x<|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext| >", "x y"] + texts(20):
+        assert np.frombuffer(code.encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_pieces(spark):
     rows = long_texts()
     found = packing.pack_documents(table(spark, rows)).collect()
