@@ -5,17 +5,22 @@ around it, its link text and its words. Pass 1 decides blocks: those inside menu
 sidebars, forms, notices, adverts or comments and those of mostly link text are boilerplate; long
 blocks rich in stop words are content. What is left (short blocks, and long ones with few stop words)
 is ambiguous, and in pass 2 inherits the label of the nearest decided neighbour in the same region.
-A page with ``article`` or ``main`` has its content there; other pages rely on the rules alone.
+A page with ``article`` or ``main`` has its content there: every block of it that isn't banned or
+mostly links is good or inherits good, so density matters on other pages only. Where no block of such
+a page is decided good, the undecided ones stay, rather than none.
 
 Defined results: null or empty html gives an empty text; an unclosed tag, comment or script runs to
-the end of the page; repeated rows each get a row; an empty table gives an empty result; other
-columns are ignored. Scanning takes time in proportion to the page.
+the end of the page, an unclosed link to the end of its paragraph or enclosing element; repeated rows
+each get a row; an empty table gives an empty result; other columns are ignored. Scanning takes time
+in proportion to the page: every element is pushed and popped once, and a closing tag that opens
+nothing is found by a count of open names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,8 +88,10 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # element, is boilerplate, article number before it
     text: list[str] = []
-    links = depth_a = articles = region = banned = heading = 0
-    skip = 0
+    links = articles = region = banned = heading = skip = 0
+    anchor: tuple[int, bool] | None = None  # of the open link: the stack's depth, and whether a paragraph holds it
+    paragraph = False
+    open_names: Counter[str] = Counter()
     at, size = 0, len(page)
     last_double, last_single = page.rfind('"'), page.rfind("'")
 
@@ -103,7 +110,7 @@ def blocks(page: str) -> list[Block]:
             lt = size
         if lt > at and not skip:
             text.append(page[at:lt])
-            if depth_a:
+            if anchor:
                 links += lt - at
         if lt == size:
             break
@@ -135,27 +142,35 @@ def blocks(page: str) -> list[Block]:
                 text.append("\n")
             continue
         if name == "a":
-            depth_a = 0 if closing else 1
+            anchor = None if closing else (len(stack), paragraph)
             continue
         if name not in BLOCK and name not in SKIPPED:
             continue
         if name in BLOCK:
             close()
-        if name in VOID or name == "p":
+        if name == "p":
+            anchor, paragraph = None if anchor and anchor[1] else anchor, not closing
+            continue
+        if name in VOID:
             continue
         if closing:
-            if any(s[0] == name for s in stack):
+            if open_names[name]:
                 while stack:
                     top, bad, before = stack.pop()
+                    open_names[top] -= 1
                     banned -= bad
                     region = before
                     skip -= top in SKIPPED
                     heading -= top[0] == "h" and top[1:].isdigit()
                     if top == name:
                         break
+                paragraph = False
+                if anchor and anchor[0] > len(stack):
+                    anchor = None
             continue
         bad = name in BOILERPLATE or (name == "header" and not region) or (name not in ("body", "html") and name not in ("article", "main") and _hidden(page[found.end() : end]))
         stack.append((name, bad, region))
+        open_names[name] += 1
         banned += bad
         skip += name in SKIPPED
         heading += name[0] == "h" and name[1:].isdigit()
@@ -180,6 +195,9 @@ def classify(found: list[Block]) -> list[Block]:
             b.label = "good"
         elif not inside and not words:
             b.label = "bad"
+    if not inside and not any(b.label == "good" for b in found):
+        for b in found:
+            b.label = b.label or "good"
     fall_back = "good" if inside else "bad"
     # On a page with an article, what lies outside or is banned says nothing about the blocks beside it.
     voices = [bool(b.label) and not (inside and b.label == "bad") for b in found]
