@@ -2,14 +2,16 @@
 
 Each document gets a seeded hash key. Keys cut every source into ranges of about ``ROWS_PER_RANGE``
 documents; the ranges' sums are added up per source, and rows are summed only within their range. So
-a source with a third of all rows is spread like any other. A source's budget is cut exactly: whole
-epochs first, then documents in key order, the last one in part.
+a source with a third of all rows is spread like any other. Rows that share an id, or have none, share
+a key; a range that they make crowded is cut again by a hash of its rows. A source's budget is cut
+exactly: whole epochs first, then documents in key order, the last one in part.
 
 Targets are water-filling: weights share the total, and a source stops at ``MAX_EPOCHS`` times its
 size, its excess going to the others by weight.
 
 Defined results: size is the number of words, 0 for null text; a null source is a source of its own,
-last in order; repeated rows each count; an empty table gives an empty result; other columns are
+last in order; repeated rows each count (of rows equal in id and text, which one is cut may differ
+between runs); an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from sievemark.llm.common import WORD, materialize, read_table, text_or_empty, unused
 
 WEIGHTS, MAX_EPOCHS, ROWS_PER_RANGE, SEED = (5, 2, 1), 3, 1024, "mix-1"
+#: A range of more than so many times its share of rows is cut again.
+CROWDED = 4
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -50,7 +54,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 
 def _takes(docs: DataFrame, row: str | None, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``mix`` with the column ``row`` of ``docs``, if any, which then orders ties."""
+    """``mix`` with the column ``row`` of ``docs``, if any."""
     number = [F.col(row).alias("row")] if row else []
     names = ["row"] if row else []
     slim = materialize(
@@ -59,6 +63,8 @@ def _takes(docs: DataFrame, row: str | None, weights: tuple[int, ...] = WEIGHTS,
             F.col(source_col).cast("string").alias("source"),
             F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
             F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long").alias("key"),
+            F.crc32(text_or_empty(text_col).cast("binary")).alias("crc"),
+            F.monotonically_increasing_id().alias("_n"),
             *number,
         ),
         "mix",
@@ -67,12 +73,19 @@ def _takes(docs: DataFrame, row: str | None, weights: tuple[int, ...] = WEIGHTS,
     targets = source_targets(sizes, weights, max_epochs)
     ranges = max(1, math.ceil(slim.count() / rows_per_range))
     rows = slim.select("*", F.floor(F.col("key").cast("double") * ranges / float(1 << 48)).cast("int").alias("range"), F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    part = rows.groupBy("none", "name", "range").agg(F.sum("size").alias("range_size"))
-    ahead = F.sum("range_size").over(Window.partitionBy("none", "name").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("range_size")
+    place = ["none", "name", "range", "part"]
+    crowded = materialize(rows.groupBy(*place[:3]).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CROWDED * rows_per_range).withColumn("parts", F.ceil(F.col("rows") / rows_per_range)).drop("rows"), "crowded")
+    if crowded.isEmpty():
+        rows = rows.withColumn("part", F.lit(0))
+    else:
+        cut = F.coalesce(F.pmod(F.xxhash64("crc", "size", "_n"), F.col("parts")), F.lit(0)).cast("int")
+        rows = rows.join(crowded, place[:3], "left").withColumn("part", cut).drop("parts")
+    part = rows.groupBy(*place).agg(F.sum("size").alias("range_size"))
+    ahead = F.sum("range_size").over(Window.partitionBy("none", "name").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("range_size")
     keyed = targets.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target")
-    starts = part.select("none", "name", "range", ahead.alias("ahead")).join(keyed, ["none", "name"])
-    within = F.sum("size").over(Window.partitionBy("none", "name", "range").orderBy("key", "doc_id", "size", *names).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = rows.withColumn("within", within).join(starts, ["none", "name", "range"])
+    starts = part.select(*place, ahead.alias("ahead")).join(keyed, ["none", "name"])
+    within = F.sum("size").over(Window.partitionBy(*place).orderBy("key", "doc_id", "size", "crc", "_n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    placed = rows.withColumn("within", within).join(starts, place)
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
