@@ -63,6 +63,27 @@ def release(df: DataFrame) -> None:
             _written.remove((spark, path))
 
 
+#: Rows of one bitmap of ``rows_kept``, as Spark's bitmap functions cut them.
+_PER_BITMAP = 32768
+
+
+def rows_kept(numbered: DataFrame, number: str, kept: DataFrame) -> DataFrame:
+    """The rows of ``numbered`` whose ``number`` (from 0, dense within partitions) is in ``kept`` (one column).
+
+    Numbers become bitmaps of 4 kB, a bit a row, so texts stay where they are as long as Spark finds
+    the bitmaps' file small enough to broadcast (its own threshold); beyond that it joins by bitmap.
+    DataFrame functions only.
+    """
+    low, bits = unused(numbered, "_map", "_bits")
+    numbers = kept.select((F.col(kept.columns[0]) + 1).alias("n"))
+    maps = numbers.groupBy(F.bitmap_bucket_number("n").alias(low)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias(bits))
+    maps = materialize(maps, "bitmaps")
+    at = F.pmod(F.col(number), F.lit(_PER_BITMAP))
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = numbered.join(maps, (F.floor(F.col(number) / _PER_BITMAP) + 1) == F.col(low))
+    return joined.where(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1).select(*numbered.columns)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

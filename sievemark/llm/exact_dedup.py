@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import materialize, read_table, text_or_empty, unused
+from sievemark.llm.common import materialize, read_table, rows_kept, text_or_empty, unused
 
 CHUNK_MIN, CHUNK_MAX = 256, 2048
 #: Rows of one group of equal texts are spread over so many salts.
@@ -47,12 +47,12 @@ def chunk_variants(docs: DataFrame, text_col: str, name_of: Callable[[Column], C
     return pairs.join(shared, "name").select("name", "chunk", (F.row_number().over(Window.partitionBy("name").orderBy("chunk")) - 1).alias("variant"))
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_of: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row per document: doc_id, row (unique), recipe (ordered verified identifiers), text_sha256."""
+def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_of: Callable[[Column], Column] | None = None, row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, row (unique, or ``row_col``), recipe (ordered verified identifiers), text_sha256."""
     name_of = name_of or (lambda c: F.xxhash64(c))
     text = text_or_empty(text_col)
     variants = chunk_variants(docs, text_col, name_of)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), chunks(text).alias("chunks"), F.sha2(text, 256).alias("text_sha256"))
+    base = docs.select(F.col(id_col).alias("doc_id"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), chunks(text).alias("chunks"), F.sha2(text, 256).alias("text_sha256"))
     named = base.withColumn("recipe", F.transform("chunks", lambda c: name_of(c).cast("long")))
     if variants is None:
         return materialize(named.select("doc_id", "row", "recipe", "text_sha256"), "recipes")
@@ -75,7 +75,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A group is summed in two steps, by (recipe, salt) and then by recipe, and its sum goes back to
     those of its salts that exist; so a group of a third of all rows is dealt over ``salts`` tasks.
     """
-    ids = recipes(docs, id_col, text_col, name_of).select(
+    return _groups(recipes(docs, id_col, text_col, name_of), salts).drop("row")
+
+
+def _groups(listed: DataFrame, salts: int) -> DataFrame:
+    """``exact_dedup`` of recipes, with their ``row``."""
+    ids = listed.select(
         "*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("order_id"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"), F.xxhash64("recipe").alias("recipe_hash")
     )
     part = ids.groupBy("recipe_hash", "recipe", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("order_id").alias("top"), F.max_by("row", "order_id").alias("top_row"))
@@ -85,6 +90,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     back = whole.select("recipe_hash", "recipe", F.explode("present").alias("salt"), "group_size", "top", "top_row")
     return ids.join(back, ["recipe_hash", "recipe", "salt"]).select(
         "doc_id",
+        "row",
         F.when(F.col("top") == -(2**63), F.lit(None).cast("long")).otherwise(F.col("top")).alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
         (F.col("row") == F.col("top_row")).alias("kept"),
@@ -93,12 +99,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat both id and text, one."""
-    key, sha = unused(docs, "_key", "_sha")
-    least = F.lit(-(2**63))
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", least).alias(key), F.col("text_sha256").alias(sha))
-    own = docs.select("*", F.coalesce(F.col(id_col).cast("long"), least).alias(key), F.sha2(text_or_empty(text_col), 256).alias(sha))
-    return own.join(kept, [key, sha], "left_semi").dropDuplicates([key, sha]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns: one of each group, by the row's number.
+
+    Only chunks' names and bits move; texts are written once, numbered, and stay where they are.
+    """
+    (number,) = unused(docs, "_row")
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    kept = _groups(recipes(numbered, id_col, text_col, row_col=number), SALTS).where("kept").select("row")
+    return rows_kept(numbered, number, kept).drop(number)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
