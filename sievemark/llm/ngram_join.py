@@ -13,16 +13,22 @@
    similar sets then share c + 1 of the extended prefix, so a rare one or two of some class. c depends
    on the size band, which is part of every signature, and a set indexes its own band and the next, so
    similar sets meet in one and sets of far-apart sizes don't.
-4. Sets that share a signature are joined to candidate components; components of more than a block
-   are compared block pair by block pair (of sets in size order, so far-apart sizes never meet), with
-   exact intersections of the hash sets. Each comparison returns spanning links, never pairs.
+4. Sets that share a signature are compared exactly, by intersections of their hash sets, within
+   signature groups: first every member with its group's hub (a star, so linear work), which settles
+   each group whose members all fall in one component. Of the other groups, the members outside the
+   largest component (the rivals) meet all members, in blocks. Where that would be much work, more
+   stars with other hubs go before it. Comparisons return links that span, never all pairs.
 
-A fixed-size bitmap tells the pass that writes the remaining sets which documents it needs; documents
+A fixed-size bitmap tells the pass that writes the remaining sets which texts it needs; texts
 that it lets through by chance are compared like the others.
 
+Sets are compared by 64-bit hashes of their shingles and named by 128 bits (64 in the component step),
+so results are exact up to collisions of those.
+
 Defined results: null text counts as empty; an empty set links with nothing, not even another empty
-one; repeated rows share their class; an empty table gives an empty result; other columns are
-ignored.
+one; repeated rows share their class, and rows that share an id only by chance don't; rows without an
+id take part, and their component is that of their text; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,22 +38,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import materialize, read_table, release, text_or_empty, unused
+from sievemark.llm.common import materialize, read_table, release, rows_kept, text_or_empty, unused
 from sievemark.llm.components import connected
 from sievemark.llm.packing import _task
 from sievemark.llm.shingles import mix, set_key, shingle_sets
 
 PERCENT, SLOT_BITS, RANGES = 80, 20, 256
-#: Slots of the bitmap of needed documents; blocks hold a 32nd of their component within these bounds.
-BITMAP, BLOCK_LEAST, BLOCK_MOST, BLOCK_SHINGLES = 1 << 23, 64, 4096, 4_000_000
+#: Slots of the bitmap of needed texts; sets of one comparison's side, and sets that one task gets, about.
+BITMAP, BLOCK, TASK_SETS = 1 << 23, 1024, 4096
+#: Stars with other hubs are tried so often while the rivals' comparisons exceed ``EASY`` a posting.
+TURNS, EASY = 6, 32
 #: Hashes of a range that one task answers for, about; ranges grow in number with the corpus.
-RANGE_HASHES = 250_000
-_BATCH = 1 << 21
+RANGE_HASHES, RANGE_BITS = 250_000, 10
+_BATCH, REMEMBERED = 1 << 21, 500_000
 
-FIRST = "kind int, doc_id long, n long, k1 long, k2 long, slot int, counts binary"
+FIRST = "kind int, doc_id long, row long, n long, k1 long, k2 long, slot int, counts binary"
 
 
 def _in_parts(texts: list[str], most: int = _BATCH) -> Iterator[tuple[int, int]]:
@@ -66,16 +74,16 @@ def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (kind 0) of size and key for every document, and a task's counters (kind 1)."""
     total = np.zeros(1 << SLOT_BITS, np.int64)
     names = [c.split()[0] for c in FIRST.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.binary()]
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ids, numbers, texts = (c.to_pylist() for c in batch.columns)
         for a, b in _in_parts(texts):
             sets = shingle_sets(texts[a:b])
             total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-            rows = [(0, i, len(s), *set_key(s), None, None) for i, s in zip(ids[a:b], sets)]
+            rows = [(0, i, k, len(s), *set_key(s), None, None) for i, k, s in zip(ids[a:b], numbers[a:b], sets)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
     parts = total.reshape(RANGES, -1)
-    rows = [(1, None, None, None, None, k, zlib.compress(p.astype("<i8").tobytes(), 1)) for k, p in enumerate(parts) if p.any()]
+    rows = [(1, *[None] * 5, k, zlib.compress(p.astype("<i8").tobytes(), 1)) for k, p in enumerate(parts) if p.any()]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -150,19 +158,32 @@ def _asked(own: np.ndarray) -> tuple[int, int]:
 
 
 def _of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(id, hashes to ask about, number that must be shared) of documents; a task asks once for equal sets."""
+    """(name, hashes to ask about, number that must be shared) of texts; a task asks once for equal ones."""
     seen: set[tuple[int, int]] = set()
-    for batch in batches:
+    for batch in _fresh(batches):
         names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in _in_parts(texts, _BATCH // 2):
             for name, own in zip(names[a:b], shingle_sets(texts[a:b])):
                 if len(own) and (key := set_key(own)) not in seen:
-                    if len(seen) < 1_000_000:
+                    if len(seen) < REMEMBERED:
                         seen.add(key)
                     first, shared = _asked(own)
                     yield name, own[:first], shared
 
 
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose name (the first column) the task hasn't met; it remembers a bounded number of names."""
+    seen: set[int] = set()
+    for batch in batches:
+        names, take = batch.column(0).to_pylist(), []
+        for k, name in enumerate(names):
+            if name not in seen:
+                take.append(k)
+                if len(seen) < REMEMBERED:
+                    seen.add(name)
+        yield batch if len(take) == len(names) else batch.take(pa.array(take, pa.int64()))
+
+
 def _of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
     """The same of whole sets, of which 80 % must be shared."""
     for batch in batches:
@@ -191,8 +212,8 @@ def _ask(frequency, range_bits: int, questions):
             hashes, owners = hashes[order], owners[order]
             cuts = np.searchsorted(hashes, np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits))
             runs = [(r, h.astype("<u8").tobytes() + o.tobytes()) for r, (h, o) in enumerate(zip(np.split(hashes, cuts), np.split(owners, cuts))) if len(h)]
-            runs.append((-1 - chunk % 97, np.array([ids, need, known], "<i8").tobytes()))
-            out = pa.RecordBatch.from_arrays([pa.array([chunk] * len(runs), pa.int64()), pa.array([r for r, _ in runs], pa.int32()), pa.array([len(ids)] * len(runs), pa.int32()), pa.array([x for _, x in runs], pa.binary())], names=["chunk", "range", "docs", "payload"])
+            runs.append((-1 - chunk, np.array([ids, need, known], "<i8").tobytes()))
+            out = pa.RecordBatch.from_arrays([pa.array([chunk] * len(runs), pa.int64()), pa.array([r for r, _ in runs], pa.int64()), pa.array([x for _, x in runs], pa.binary())], names=["chunk", "range", "payload"])
             for x in (ids, need, known, parts):
                 x.clear()
             chunk, size = chunk + 1, 0
@@ -214,37 +235,47 @@ def _ask(frequency, range_bits: int, questions):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For one hash range: how many of each document's hashes are not alone. Headers pass."""
-    chunks, docs, payloads = table.column("chunk").to_pylist(), table.column("docs").to_pylist(), table.column("payload").to_pylist()
-    if table.column("range")[0].as_py() < 0:
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "header": pa.array([True] * len(chunks)), "payload": pa.array(payloads, pa.binary())})
-    hashes = [np.frombuffer(x, "<u8", len(x) // 10) for x in payloads]
-    _, place, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    shared, at, out = count[place] > 1, 0, []
-    for h, x, n in zip(hashes, payloads, docs):
-        owners = np.frombuffer(x, "<u2", len(h), 8 * len(h))
-        out.append(np.minimum(np.bincount(owners[shared[at : at + len(h)]], minlength=n), 65535).astype("<u2").tobytes())
-        at += len(h)
-    return pa.table({"chunk": pa.array(chunks, pa.int64()), "header": pa.array([False] * len(chunks)), "payload": pa.array(out, pa.binary())})
+    """For one hash range: of each chunk, the documents with hashes that are not alone, and how many. Headers pass."""
+    chunks, payloads = table.column("chunk").to_pylist(), table.column("payload").to_pylist()
+    header = table.column("range")[0].as_py() < 0
+    if not header:
+        hashes = [np.frombuffer(x, "<u8", len(x) // 10) for x in payloads]
+        _, place, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        shared, at, asked, chunks = count[place] > 1, 0, list(zip(chunks, hashes, payloads)), []
+        payloads = []
+        for chunk, h, x in asked:
+            owners = np.frombuffer(x, "<u2", len(h), 8 * len(h))[shared[at : at + len(h)]]
+            at += len(h)
+            if len(owners):
+                own, n = np.unique(owners, return_counts=True)
+                chunks.append(chunk)
+                payloads.append(own.astype("<u2").tobytes() + n.astype("<u4").tobytes())
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "header": pa.array([header] * len(chunks), pa.bool_()), "payload": pa.array(payloads, pa.binary())})
 
 
 def _settle(table: pa.Table) -> pa.Table:
     """The documents of one chunk that share enough."""
-    header = np.zeros((3, 0), np.int64)
-    total: np.ndarray | int = 0
+    header, counts = np.zeros((3, 0), np.int64), []
     for is_header, x in zip(table.column("header").to_pylist(), table.column("payload").to_pylist()):
         if is_header:
             header = np.frombuffer(x, "<i8").reshape(3, -1)
         else:
-            total = total + np.frombuffer(x, "<u2").astype(np.int64)
+            counts.append((np.frombuffer(x, "<u2", len(x) // 6), np.frombuffer(x, "<u4", len(x) // 6, len(x) // 3)))
     ids, need, known = header
-    return pa.table({"rep": pa.array(ids[total + known >= need], pa.int64())})
+    total = known.copy()
+    for own, n in counts:
+        total[own] += n
+    return pa.table({"rep": pa.array(ids[total >= need], pa.int64())})
 
 
 def hopeful(rows: DataFrame, questions, frequency, hashes: int) -> DataFrame:
-    """(rep): the ids in ``rows`` that share enough of the hashes they ask about; ``hashes`` in all."""
-    bits = min(20, max(6, int(np.ceil(np.log2(max(1, hashes) / RANGE_HASHES)))))
-    asked = rows.mapInArrow(_ask(frequency, bits, questions), "chunk long, range int, docs int, payload binary")
+    """(rep): the names in ``rows`` that share enough of the hashes they ask about; ``hashes`` in all.
+
+    What moves is every hash once, and back one count for each document and range in which it shares
+    something.
+    """
+    bits = min(20, max(RANGE_BITS, int(np.ceil(np.log2(max(1, hashes) / RANGE_HASHES)))))
+    asked = rows.mapInArrow(_ask(frequency, bits, questions), "chunk long, range long, payload binary")
     answers = asked.groupBy("range").applyInArrow(_answer, "chunk long, header boolean, payload binary")
     return answers.groupBy("chunk").applyInArrow(_settle, "rep long")
 
@@ -263,17 +294,6 @@ def _postings(sets: DataFrame, frequency) -> DataFrame:
     return sets.select("k1", "tokens").mapInArrow(run, "sign long, key long")
 
 
-def candidate_edges(postings: DataFrame) -> DataFrame:
-    """(a, b): every key beside the least key that shares a signature with it, without repeats.
-
-    A signature's group is summed to its least and greatest key with map-side combining; only groups
-    of two keys or more come back to the postings, in a join whose large groups Spark can split.
-    """
-    kept = materialize(postings, "postings")
-    shared = materialize(kept.groupBy("sign").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("sign", "a"), "shared")
-    return kept.join(shared, "sign").select("a", F.col("key").alias("b")).where("a <> b").distinct()
-
-
 def _links(members: list[np.ndarray], sizes: np.ndarray, ids: list[int], split: int | None) -> list[tuple[int, int]]:
     """Spanning links among sets: all pairs, or those across ``split`` only."""
     order = np.argsort(np.concatenate(members), kind="stable")
@@ -313,97 +333,162 @@ def _links(members: list[np.ndarray], sizes: np.ndarray, ids: list[int], split:
     return out
 
 
-def _in_blocks(near: DataFrame) -> DataFrame:
-    """(rep, k1, k2, n, group, block): groups of two sets or more, cut into blocks in order of size.
+def _open_groups(postings: DataFrame, components: DataFrame | None, turn: int) -> DataFrame:
+    """(sign, hub, home, main, m, r) of the groups whose members lie in several components.
 
-    A set's place comes from the counts of smaller sizes in its group and a hash among equal sizes,
-    so no task sorts a whole group. Blocks also hold ``BLOCK_SHINGLES`` shingles at most on average.
+    ``home`` is the hub's component, ``main`` the largest one, ``m`` the members and ``r`` those outside
+    ``main``. Groups are summed by (sign, component) first; of groups with the same members, one stays.
     """
-    each = near.groupBy("group", "n").agg(F.count(F.lit(1)).alias("equal"))
-    own = Window.partitionBy("group")
-    m, tokens = F.sum("equal").over(own), F.sum(F.col("equal") * F.col("n")).over(own)
-    lot = F.greatest(F.lit(16), F.least(F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.ceil(m / 32))), F.ceil(F.lit(BLOCK_SHINGLES) * m / tokens)))
-    start = F.sum("equal").over(own.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("equal")
-    sized = materialize(each.select("group", "n", "equal", m.alias("m"), start.alias("start"), lot.alias("lot")).where("m > 1"), "lots")
-    block = F.floor((F.col("start") + F.pmod(F.xxhash64("rep"), F.col("equal"))) / F.col("lot")).cast("int")
-    return near.join(sized, ["group", "n"]).select("rep", "k1", "k2", "n", "group", block.alias("block"))
+    by = F.col("key") if turn == 0 else F.xxhash64(F.lit(turn), "key")
+    known = postings.withColumn("comp", F.col("key")) if components is None else postings.join(components, "key", "left").withColumn("comp", F.coalesce("root", "key"))
+    part = known.groupBy("sign", "comp").agg(F.count(F.lit(1)).alias("n"), F.min_by("key", by).alias("hub"), F.min(by).alias("rank"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
+    whole = part.groupBy("sign").agg(F.count(F.lit(1)).alias("comps"), F.min_by("hub", "rank").alias("hub"), F.min_by("comp", "rank").alias("home"), F.max_by("comp", "n").alias("main"), F.sum("n").alias("m"), F.max("n").alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    several = whole.where("comps > 1").groupBy("x", "y", "m").agg(F.min("sign").alias("sign"), F.min_by("hub", "sign").alias("hub"), F.min_by("home", "sign").alias("home"), F.min_by("main", "sign").alias("main"), F.max("most").alias("most"))
+    return materialize(several.select("sign", "hub", "home", "main", "m", (F.col("m") - F.col("most")).alias("r")), "open")
 
 
-def _verify(rows: DataFrame) -> DataFrame:
-    """Links (a, b) within every task group of (task, side, rep, tokens)."""
+def _members(postings: DataFrame, components: DataFrame | None, groups: DataFrame) -> DataFrame:
+    """The postings of ``groups`` with the component of each key and the group's columns."""
+    found = postings.join(groups, "sign")
+    return found.withColumn("comp", F.col("key")) if components is None else found.join(components, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
 
-    def run(table: pa.Table) -> pa.Table:
-        side, reps = table.column("side").to_numpy(), table.column("rep").to_pylist()
-        sets = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
-        order = sorted(range(len(reps)), key=lambda i: (side[i], reps[i]))
-        split = int((side == 0).sum())
-        members = [sets[i] for i in order]
-        found = _links(members, np.array([len(m) for m in members]), [reps[i] for i in order], split if 0 < split < len(order) else None)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return rows.groupBy("task").applyInArrow(run, "a long, b long")
+def _compared(seats: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the sides of every cell of (cell, side, key); tasks hold several cells."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cell, side, key = (table.column(c).to_numpy() for c in ("cell", "side", "key"))
+        tokens = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
+        order = np.lexsort((key, side, cell))
+        out: list[tuple[int, int]] = []
+        for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            split = int((side[rows] == 0).sum())
+            if 0 < split < len(rows):
+                own = [tokens[i] for i in rows]
+                out += _links(own, np.array([len(x) for x in own]), key[rows].tolist(), split)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    seats = materialize(seats, "seats")
+    count = seats.count()
+    task = F.pmod(F.xxhash64("cell"), F.lit(max(1, -(-count // TASK_SETS))))
+    held = seats.withColumn("task", task).join(sets.select(F.col("k1").alias("key"), "tokens"), "key")
+    return materialize(held.groupBy("task").applyInArrow(run, "a long, b long").where("a <> b"), "links")
+
+
+def _stars(postings: DataFrame, components: DataFrame | None, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of every open group's hub with the members outside its component; a large star is several cells."""
+    edges = _members(postings, components, groups).where("comp <> home").select("hub", "key").distinct()
+    edges = materialize(edges.select("hub", "key"), "stars")
+    lots = edges.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("lots"))
+    dealt = edges.join(lots, "hub").select("hub", "key", F.xxhash64("hub", F.pmod(F.xxhash64("key"), "lots")).alias("cell"))
+    rays = dealt.select("cell", F.lit(1).alias("side"), "key")
+    hubs = lots.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot")).select(F.xxhash64("hub", "lot").alias("cell"), F.lit(0).alias("side"), F.col("hub").alias("key"))
+    return _compared(hubs.union(rays), sets)
+
+
+def _rivals(postings: DataFrame, components: DataFrame | None, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the members outside each open group's largest component with all members, block by block."""
+    members = materialize(_members(postings, components, groups), "rivals")
+    long = lambda c: F.ceil(F.col(c) / BLOCK)
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), long(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("key"), long(c))
+    first = members.where("comp <> main").select("sign", "key", own("r").alias("i"), every("m").alias("j"), F.lit(0).alias("side"))
+    second = members.select("sign", "key", every("r").alias("i"), own("m").alias("j"), F.lit(1).alias("side"))
+    return _compared(first.unionByName(second).select(F.xxhash64("sign", "i", "j").alias("cell"), "side", "key"), sets)
+
+
+def components_of(postings: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(key, root) of the sets that link with others: exact comparisons within signature groups."""
+    links = components = None
+    together = lambda more: more if links is None else materialize(links.union(more), "links")
+    for turn in range(TURNS + 1):
+        groups = _open_groups(postings, components, turn)
+        work = groups.agg(F.sum(F.col("r").cast("double") * F.col("m")), F.sum("m")).first()
+        if not work[1]:
+            break
+        if turn == TURNS or (turn and work[0] <= EASY * work[1]):
+            links = together(_rivals(postings, components, groups, sets))
+            return connected(links).toDF("key", "root")
+        links = together(_stars(postings, components, groups, sets))
+        components = connected(links).toDF("key", "root")
+    return components
 
 
 def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(k1, k2, tokens) of documents whose id may be in ``needed`` (rep): a bitmap of fixed size decides."""
-    place = F.pmod(F.xxhash64("rep"), F.lit(BITMAP)) + 1
-    bits = needed.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+    """(k1, k2, tokens) of texts whose name may be in ``needed`` (rep): a bitmap of fixed size decides."""
+    place = lambda name: F.pmod(F.xxhash64(name), F.lit(BITMAP)) + 1
+    bits = needed.select(place("rep").alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
     whole = np.zeros(BITMAP // 8, np.uint8)
     for r in bits:
         own = np.frombuffer(bytes(r.bits), np.uint8)
         whole[(r.k - 1) * 4096 : (r.k - 1) * 4096 + len(own)] = own
     shipped = docs.sparkSession.sparkContext.broadcast(whole)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column(0).to_numpy() - 1
-            own = batch.filter(pa.array((shipped.value[p >> 3] >> (p & 7)) & 1 == 1))
-            texts = own.column(1).to_pylist()
+            p = batch.column(1).to_numpy() - 1
+            yield batch.filter(pa.array((shipped.value[p >> 3] >> (p & 7)) & 1 == 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _fresh(wanted(batches)):
+            texts = own.column(2).to_pylist()
             for a, b in _in_parts(texts):
                 rows = [(*set_key(s), s.astype("<u8").tobytes()) for s in shingle_sets(texts[a:b]) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], names=["k1", "k2", "tokens"])
 
-    rows = docs.select(F.col("doc_id").alias("rep"), text_or_empty("text").alias("text")).where("rep is not null")
-    return rows.select(place.cast("long").alias("p"), "text").mapInArrow(run, "k1 long, k2 long, tokens binary")
+    return docs.select("name", place("name").cast("long").alias("p"), "text").mapInArrow(run, "k1 long, k2 long, tokens binary")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of ``docs``."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = materialize(docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(first_pass, FIRST), "sizes")
-    sizes = first.where("kind = 0").select("doc_id", "n", "k1", "k2")
+def _classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n, vertex, least): one row per row of ``docs`` (doc_id, row, text).
+
+    ``vertex`` names the component of a text that isn't empty, ``least`` is the component's least id.
+    """
+    docs = docs.withColumn("name", F.xxhash64("text"))
+    first = materialize(docs.select("doc_id", "row", "text").mapInArrow(first_pass, FIRST), "sizes")
+    sizes = first.where("kind = 0").select("doc_id", "row", "n", "k1", "k2")
     frequency = docs.sparkSession.sparkContext.broadcast(frequency_classes(first))
     shingles = sizes.agg(F.sum("n")).first()[0] or 0
-    asking = docs.where("doc_id is not null").select("doc_id", text_or_empty("text").alias("text"))
-    some = materialize(hopeful(asking, _of_texts, frequency, int(shingles * 0.3)), "hopeful")
+    some = materialize(hopeful(docs.select("name", "text"), _of_texts, frequency, int(shingles * 0.3)), "hopeful")
     first_sets = materialize(_needed_sets(docs, some).groupBy("k1", "k2").agg(F.first("tokens").alias("tokens")), "sets")
     # Once more, whole sets among themselves: what is left has 80 % of its shingles elsewhere.
     total = first_sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     fewer = materialize(hopeful(first_sets.select("k1", "tokens"), _of_sets, frequency, total // 8).distinct(), "hopeful")
     sets = materialize(first_sets.join(fewer.toDF("k1"), "k1"), "sets")
     release(first_sets)
-    candidates = connected(candidate_edges(_postings(sets, frequency)))
-    reps = sizes.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    near = materialize(reps.join(candidates.toDF("k1", "group"), "k1").select("rep", "n", "k1", "k2", "group"), "near")
-    placed = materialize(_in_blocks(near), "blocks")
-    spans = placed.groupBy("group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = spans.toDF("group", "i", "low_i", "high_i"), spans.toDF("group", "j", "low_j", "high_j")
-    meets = left.join(right, "group").where((F.col("i") <= F.col("j")) & (100 * F.col("high_i") >= PERCENT * F.col("low_j")))
-    tasks = meets.select("group", "i", "j", F.xxhash64("group", "i", "j").alias("task"))
-    seats = tasks.select("group", F.col("i").alias("block"), F.lit(0).alias("side"), "task").union(tasks.where("i < j").select("group", F.col("j").alias("block"), F.lit(1).alias("side"), "task"))
-    held = materialize(placed.join(seats, ["group", "block"]).select("rep", "k1", "k2", "task", "side"), "seats")
-    links = _verify(held.join(sets, ["k1", "k2"]))
-    roots = connected(links)
-    labelled = materialize(sizes.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).join(roots.toDF("rep", "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root")), "labels")
-    return sizes.join(labelled, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
+    postings = _postings(sets, frequency)
+    kept = materialize(postings, "postings")
+    shared = kept.groupBy("sign").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("sign")
+    roots = components_of(materialize(kept.join(shared, "sign"), "shared"), sets)
+    classes = sizes.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
+    if roots is not None:
+        joined = materialize(classes.join(roots.toDF("k1", "root"), "k1"), "linked")
+        lowest = joined.groupBy("root").agg(F.min("least").alias("lowest"))
+        labels = joined.join(lowest, "root").select("k1", "k2", "root", "lowest")
+        classes = classes.join(labels, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("root", "k1").alias("vertex"), F.coalesce("lowest", "least").alias("least"))
+    else:
+        classes = classes.withColumn("vertex", F.col("k1"))
+    return sizes.join(materialize(classes, "labels"), ["k1", "k2"], "left").select("doc_id", "row", "n", "vertex", F.when(F.col("n") > 0, F.col("least")).alias("least"))
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of ``docs``."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row"), text_or_empty(text_col).alias("text"))
+    return _classes(slim).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, its least id, with all columns. Rows without an id stay."""
-    (key,) = unused(docs, "_key")
-    kept = jaccard_classes(docs, id_col, text_col).where("component_id = doc_id").select(F.col("doc_id").alias(key)).distinct()
-    own = docs.where(F.col(id_col).isNotNull()).withColumn(key, F.col(id_col).cast("long")).join(kept, key, "left_semi").dropDuplicates([key])
-    return own.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    """One row of each component, with all columns: its least id (rows without one come last).
+
+    Rows are chosen by number, so rows that share an id only by chance stay both. Empty texts stay.
+    """
+    (number,) = unused(docs, "_row")
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    slim = numbered.select(F.col(id_col).cast("long").alias("doc_id"), F.col(number).alias("row"), text_or_empty(text_col).alias("text"))
+    found = materialize(_classes(slim), "classes")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = found.where("n > 0").groupBy("vertex").agg(F.min(order)["row"].alias("row")).select("row").union(found.where("n = 0").select("row"))
+    return rows_kept(numbered, number, kept).drop(number)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,20 @@
 """Hashed sets of 5-word shingles of whole texts, in numpy over many texts at once.
 
 A-Z are lower-cased; words are runs of characters other than ASCII white space. A text of fewer words
-has its whole sequence as one shingle; a text of none has an empty set.
+has its whole sequence as one shingle; a text of none has an empty set. Long texts are hashed in pieces
+of ``PIECE`` bytes that overlap by four words, so memory goes with a piece (and the longest word).
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-WORDS = 5
+WORDS, PIECE = 5, 1 << 21
+_SPACE, _WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.random.default_rng(5).integers(1, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -46,10 +50,41 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+def _pieces(raw: bytes, most: int) -> Iterator[bytes]:
+    """Parts of a text, cut between words, each with the first four words of what follows."""
+    at = 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + most)
+        if cut is None:
+            yield raw[at:]
+            return
+        end = cut.start()
+        for _ in range(WORDS - 1):
+            if (word := _WORD.search(raw, end)) is None:
+                break
+            end = word.end()
+        yield raw[at:end]
+        at = cut.start()
+
+
+def shingle_sets(texts: list[str], piece: int = PIECE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    values, space = _tables()
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    out = [s for s, _ in _sets([r if len(r) <= piece else b"" for r in raw])]
+    for n, r in enumerate(raw):
+        if len(r) > piece:
+            parts: list[np.ndarray] = []
+            for part in _pieces(r, piece):
+                own, words = _sets([part])[0]
+                if words >= WORDS or not parts:
+                    parts.append(own)
+            out[n] = np.unique(np.concatenate(parts))
+    return out
+
+
+def _sets(raw: list[bytes]) -> list[tuple[np.ndarray, int]]:
+    """(sorted distinct shingle hashes, number of words) of each text."""
+    values, space = _tables()
     data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
     blank = space[data]
     up, down = _power_tables(len(data) + 1)
@@ -67,12 +102,13 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= WORDS:
-            out.append(np.unique(whole[a : b - WORDS + 1]))
+            own = np.unique(whole[a : b - WORDS + 1])
         elif b > a:
-            own = words[a:b]
-            out.append(mix(np.array([(own * _STEPS[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64)))
+            few = words[a:b]
+            own = mix(np.array([(few * _STEPS[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64))
         else:
-            out.append(np.zeros(0, np.uint64))
+            own = np.zeros(0, np.uint64)
+        out.append((own, b - a))
     return out
 
 

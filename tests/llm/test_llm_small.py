@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievemark.llm import exact_dedup, html_text, mixing, ngram_join, packing, pii, quality, sharding, token_output, tokens, vector_dedup
+from sievemark.llm import common, exact_dedup, html_text, mixing, ngram_join, packing, pii, quality, sharding, token_output, tokens, vector_dedup
 from sievemark.llm.components import connected
 from sievemark.llm.shingles import shingle_sets
 
@@ -92,11 +92,35 @@ def test_sharding(spark):
     assert order != sorted(order) and order != sorted(order, reverse=True)
 
 
+def test_sharding_of_repeated_ids(spark):
+    rows = [(None, "same", "a")] * 700 + [(7, f"t{k % 50}", "a") for k in range(700)] + [(k, "x", "a") for k in range(700)]
+    df = table(spark, rows)
+    found = sharding.shard_rows(df, shards=7, rows_per_bucket=70).collect()
+    assert Counter((r.shard, r.slot) for r in found) == Counter((g % 7, g // 7) for g in range(2100))
+    assert Counter((r.doc_id, r.text_crc32) for r in found) == Counter((i, zlib.crc32(t.encode())) for i, t, _ in rows)
+    spread = [sum(r.doc_id is None for r in found if r.slot // 30 == k) for k in range(10)]
+    assert min(spread) > 35 and max(spread) < 110  # 70 of every 210 places, about
+    again = sharding.shard_rows(df.repartition(3), shards=7, rows_per_bucket=70).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, found))
+
+
+def test_bucket_offsets(spark):
+    g = random.Random(4)
+    counts = [(k, g.randrange(1, 9)) for k in range(300) if g.random() < 0.8]
+    found = dict(sharding.bucket_offsets(spark.createDataFrame(counts, "_bucket long, _n long"), 7).collect())
+    assert found == {k: sum(n for j, n in counts if j < k) for k, _ in counts}
+
+
 def test_written_shards(spark, tmp_path):
-    rows = long_texts()
-    sharding.write_shards(table(spark, rows), str(tmp_path / "out"), 5)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r.doc_id for r in back.collect()) == sorted(i for i, _, _ in rows)
+    rows = long_texts() + [(None, "same", "a")] * 40
+    sharding.write_shards(table(spark, rows), str(tmp_path / "out"), 5, bucket_bytes=20000)
+    back = spark.read.parquet(str(tmp_path / "out")).select("*", F.input_file_name().alias("file")).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((i, t) for i, t, _ in rows)
+    assert Counter((r.shard, r.slot) for r in back) == Counter((g % 5, g // 5) for g in range(len(rows)))
+    by_file = defaultdict(list)
+    for r in back:
+        by_file[r.file].append((r.shard, r.slot))
+    assert all(len({s for s, _ in own}) == 1 and own == sorted(own) for own in by_file.values())
 
 
 def brute_targets(sizes):
@@ -152,6 +176,29 @@ def test_mix_takes_rows_without_an_id(spark):
     assert any(r.doc_id is None for r in out) and all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
 
 
+def test_mix_of_crowded_ranges(spark):
+    rows = [(5, f"w{k} " * (k % 9 + 1), "a") for k in range(400)] + [(k, "x y z", "ab"[k % 2]) for k in range(200)]
+    found = mixing.mix(table(spark, rows), rows_per_range=8).collect()
+    sizes, taken = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(WORD.findall(t))
+    names = {n: s for s, n in sizes.items()}
+    for r in found:
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[names[r.source_size]] += r.taken
+    targets = brute_targets(sizes)
+    assert len(found) == len(rows) and len(names) == 2 and all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
+    part = sum(r.taken % r["size"] != 0 for r in found)
+    assert part <= 2  # one document a source is cut
+
+
+def test_rows_kept_by_bitmaps(spark):
+    numbered = spark.range(0, 100000, 1, 3).select((F.col("id") + F.floor(F.col("id") / 40000) * (1 << 33)).alias("n"), F.lit("x").alias("_bits"))
+    kept = numbered.where("pmod(n, 7) = 3").select("n")
+    assert sorted(r.n for r in common.rows_kept(numbered, "n", kept).collect()) == sorted(r.n for r in kept.collect())
+    assert common.rows_kept(numbered, "n", kept.limit(0)).count() == 0
+
+
 PATH = tokens.default_path()
 
 
@@ -288,21 +335,31 @@ def brute_classes(rows):
 def test_ngram_join(spark, slots, monkeypatch):
     if slots == "all frequent":
         monkeypatch.setattr(ngram_join, "frequency_classes", lambda first: np.ones(1 << ngram_join.SLOT_BITS, np.uint8))
-        monkeypatch.setattr(ngram_join, "BLOCK_LEAST", 8)
+        monkeypatch.setattr(ngram_join, "BLOCK", 4)
+        monkeypatch.setattr(ngram_join, "TURNS", 2)
+        monkeypatch.setattr(ngram_join, "EASY", -1)
     g, passage = random.Random(4), " ".join(f"p{k}" for k in range(60))
     rows = [t for s in range(6) for t in near_family(s, 25)] + [f"{passage} {t}" for t in texts(60, 8, 5, 90)] + texts(40, 6, 1, 6) + near_family(99, 30, 7)
     g.shuffle(rows)
     rows = list(enumerate(rows)) + [(5000 + i, t) for i, t, _ in ODD if i != 3]
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(table(spark, [(i, t, "a") for i, t in rows])).collect()}
     assert found == brute_classes(rows)
-    kept = {r.doc_id for r in ngram_join.keep_one(table(spark, [(i, t, "a") for i, t in rows])).collect()}
-    assert kept == {i for i, (_, c) in found.items() if i == c}
+    if slots == "usual":
+        rows += [(3, f"its own text {k} of many words") for k in range(3)] + [(None, rows[0][1]), (None, "nothing like this text anywhere"), (None, "")]
+        out = ngram_join.keep_one(table(spark, [(i, t, "a") for i, t in rows])).collect()
+        kept = {i for i, (_, c) in found.items() if i == c}
+        assert {r.doc_id for r in out if r.doc_id != 3} == kept - {3} | {None}
+        assert sorted(r.text for r in out if r.doc_id is None) == ["", "nothing like this text anywhere"]
+        assert {r.text for r in out if r.doc_id == 3} >= {f"its own text {k} of many words" for k in range(3)}
 
 
 def test_shingle_sizes():
     all_texts = texts(200, 3, 0, 30) + [t or "" for _, t, _ in ODD] + ["A b C d E f", "a B c D e F"]
     found = shingle_sets(all_texts)
     assert [len(s) for s in found] == [len(brute_shingles(t)) for t in all_texts]
+    for small in (1, 7, 50):
+        few = [k for k, t in enumerate(all_texts) if len(t) < 3000]
+        assert all(np.array_equal(found[k], s) for k, s in zip(few, shingle_sets([all_texts[k] for k in few], small)))
     assert (found[-1] == found[-2]).all()
 
 
@@ -410,6 +467,70 @@ def test_html():
         assert isinstance(html_text.main_text(odd), str)
 
 
+def test_html_scanning_is_linear():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        page = "<div>" * n + "</section>" * n + "<p>text"
+        start = time.perf_counter()
+        assert html_text.main_text(page) == "text"
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_html_unclosed_link():
+    story = "It was the best of times, and it was the worst of times for all of the people in the town."
+    assert html_text.main_text(f"<body><p><a href=x>Read on</p><p>{story}</p>") == story
+    assert html_text.main_text(f"<body><div><a href=x>Read</div><div>{story}</div>") == story
+    assert html_text.main_text(f"<body><a href=x><div>{story}</div></a>") == ""
+
+
+def brute_labels(found):
+    """The rules from their definition, a block at a time."""
+    inside = any(b.region and not b.banned for b in found)
+
+    def decided(b):
+        words = re.findall(r"[^\W\d_]+", b.text.lower())
+        if b.banned or (inside and not b.region) or b.links / max(1, len(b.text)) > html_text.LINKS_HIGH:
+            return "bad"
+        if len(b.text) >= html_text.LONG and sum(w in html_text.STOP_WORDS for w in words) / max(1, len(words)) >= html_text.STOP_HIGH:
+            return "good"
+        return "bad" if not inside and not words else ""
+
+    first = [decided(b) for b in found]
+    if not inside and "good" not in first:
+        return [x or "good" for x in first]
+    out = []
+    for i, b in enumerate(found):
+        sides = []
+        for js in (range(i - 1, -1, -1), range(i + 1, len(found))):
+            j = next((j for j in js if first[j] == "good" or (first[j] == "bad" and not inside)), None)
+            if j is not None and found[j].region == b.region:
+                sides.append((abs(i - j), first[j] != "good", first[j]))
+        out.append(first[i] or (min(sides)[2] if sides else "good" if inside else "bad"))
+    return out
+
+
+def test_html_rules_by_brute_force():
+    g = random.Random(12)
+    for _ in range(400):
+        found = []
+        for _ in range(g.randint(0, 14)):
+            words = g.choices(["the", "and", "of", "Haus", "zebra", "x1", "42", "|"], k=g.randint(1, 30))
+            text = " ".join(words)
+            found.append(html_text.Block(text, g.choice([0, 0, len(text)]), g.choice([0, 0, 1, 2]) if g.random() < 0.5 else 0, g.random() < 0.2, False))
+        wanted = brute_labels(found)
+        assert [b.label for b in html_text.classify(found)] == wanted
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", None, "c"), (2, None, "", "c"), (3, "u", "<p>" + "The cat and the dog of the house were in it. " * 20000, "c"), (3, "u", "<p>x", "c"), (None, "u", "<p>x", "c")]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert [(r.page_id, r.url, r.n_chars) for r in found] == [(1, "u", 0), (2, None, 0), (3, "u", 45 * 20000 - 1), (3, "u", 1), (None, "u", 1)]
+    assert all(r.n_chars == len(r.text) for r in found)
+
+
 def brute_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
