@@ -13,11 +13,13 @@
    similar sets then share c + 1 of the extended prefix, so a rare one or two of some class. c depends
    on the size band, which is part of every signature, and a set indexes its own band and the next, so
    similar sets meet in one and sets of far-apart sizes don't.
-4. Sets that share a signature are compared exactly, by intersections of their hash sets, within
-   signature groups: first every member with its group's hub (a star, so linear work), which settles
-   each group whose members all fall in one component. Of the other groups, the members outside the
-   largest component (the rivals) meet all members, in blocks. Where that would be much work, more
-   stars with other hubs go before it. Comparisons return links that span, never all pairs.
+4. Sets that share a signature are compared exactly, by intersections of their hash sets: first every
+   member with its group's hub (a star, so linear work), which settles each group whose members all
+   fall in one component. Of the other groups, the members outside the largest component (the rivals)
+   meet all members: up to ``RIVALS`` of them as hubs of stars, each pair of sets once however many groups
+   it shares. Where there are more, other hubs are tried first, and what is then still open
+   is compared block pair by block pair (in size order, so far-apart sizes never meet) among the sets
+   that such groups connect. Comparisons return links that span, never all pairs.
 
 A fixed-size bitmap tells the pass that writes the remaining sets which texts it needs; texts
 that it lets through by chance are compared like the others.
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievemark.llm.common import materialize, read_table, release, rows_kept, text_or_empty, unused
@@ -49,8 +51,10 @@ from sievemark.llm.shingles import mix, set_key, shingle_sets
 PERCENT, SLOT_BITS, RANGES = 80, 20, 256
 #: Slots of the bitmap of needed texts; sets of one comparison's side, and sets that one task gets, about.
 BITMAP, BLOCK, TASK_SETS = 1 << 23, 1024, 4096
-#: Stars with other hubs are tried so often while the rivals' comparisons exceed ``EASY`` a posting.
-TURNS, EASY = 6, 32
+#: Rivals of a group that become hubs; turns with other hubs where there are more.
+RIVALS, TURNS = 32, 3
+#: Blocks hold a 32nd of their sets within these bounds, and so many shingles at most on average.
+BLOCK_LEAST, BLOCK_MOST, BLOCK_SHINGLES = 64, 4096, 4_000_000
 #: Hashes of a range that one task answers for, about; ranges grow in number with the corpus.
 RANGE_HASHES, RANGE_BITS = 250_000, 10
 _BATCH, REMEMBERED = 1 << 21, 500_000
@@ -280,18 +284,36 @@ def hopeful(rows: DataFrame, questions, frequency, hashes: int) -> DataFrame:
     return answers.groupBy("chunk").applyInArrow(_settle, "rep long")
 
 
+def _similar_sizes(a: str, b: str):
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
 def _postings(sets: DataFrame, frequency) -> DataFrame:
-    """(sign, key): the signatures of (k1, tokens)."""
+    """(sign, key, n): the signatures of (k1, tokens), and the sets' sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                signs = [signatures(np.frombuffer(x, "<u8"), frequency.value) for x in part.column(1).to_pylist()]
-                keys = np.repeat(part.column(0).to_numpy(), [len(s) for s in signs])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(keys)], names=["sign", "key"])
+                sets = [np.frombuffer(x, "<u8") for x in part.column(1).to_pylist()]
+                signs = [signatures(x, frequency.value) for x in sets]
+                times = [len(s) for s in signs]
+                keys, sizes = np.repeat(part.column(0).to_numpy(), times), np.repeat([len(x) for x in sets], times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(keys), pa.array(sizes, pa.int64())], names=["sign", "key", "n"])
+
+    return sets.select("k1", "tokens").mapInArrow(run, "sign long, key long, n long")
+
 
-    return sets.select("k1", "tokens").mapInArrow(run, "sign long, key long")
+def _rays(members: list[np.ndarray], ids: list[int]) -> list[tuple[int, int]]:
+    """Links of the first set with each of the others."""
+    hub, sizes = members[0], np.array([len(m) for m in members[1:]], np.int64)
+    if not len(sizes):
+        return []
+    every = np.concatenate(members[1:])
+    at = np.minimum(np.searchsorted(hub, every), len(hub) - 1)
+    both = np.add.reduceat((hub[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    near = np.flatnonzero(100 * both >= PERCENT * (len(hub) + sizes - both))
+    return [(ids[0], ids[1 + k]) for k in near.tolist()]
 
 
 def _links(members: list[np.ndarray], sizes: np.ndarray, ids: list[int], split: int | None) -> list[tuple[int, int]]:
@@ -333,24 +355,25 @@ def _links(members: list[np.ndarray], sizes: np.ndarray, ids: list[int], split:
     return out
 
 
+def _placed(postings: DataFrame, components: DataFrame | None) -> DataFrame:
+    """``postings`` with the component of each key."""
+    if components is None:
+        return postings.withColumn("comp", F.col("key"))
+    return postings.join(components, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+
+
 def _open_groups(postings: DataFrame, components: DataFrame | None, turn: int) -> DataFrame:
-    """(sign, hub, home, main, m, r) of the groups whose members lie in several components.
+    """(sign, hub, hub_n, home, main, r) of the groups whose members lie in several components.
 
-    ``home`` is the hub's component, ``main`` the largest one, ``m`` the members and ``r`` those outside
-    ``main``. Groups are summed by (sign, component) first; of groups with the same members, one stays.
+    ``home`` is the hub's component, ``main`` the largest one, and ``r`` the members outside ``main``. Groups
+    are summed by (sign, component) first; of groups with the same members, one stays.
     """
     by = F.col("key") if turn == 0 else F.xxhash64(F.lit(turn), "key")
-    known = postings.withColumn("comp", F.col("key")) if components is None else postings.join(components, "key", "left").withColumn("comp", F.coalesce("root", "key"))
-    part = known.groupBy("sign", "comp").agg(F.count(F.lit(1)).alias("n"), F.min_by("key", by).alias("hub"), F.min(by).alias("rank"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
-    whole = part.groupBy("sign").agg(F.count(F.lit(1)).alias("comps"), F.min_by("hub", "rank").alias("hub"), F.min_by("comp", "rank").alias("home"), F.max_by("comp", "n").alias("main"), F.sum("n").alias("m"), F.max("n").alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-    several = whole.where("comps > 1").groupBy("x", "y", "m").agg(F.min("sign").alias("sign"), F.min_by("hub", "sign").alias("hub"), F.min_by("home", "sign").alias("home"), F.min_by("main", "sign").alias("main"), F.max("most").alias("most"))
-    return materialize(several.select("sign", "hub", "home", "main", "m", (F.col("m") - F.col("most")).alias("r")), "open")
-
-
-def _members(postings: DataFrame, components: DataFrame | None, groups: DataFrame) -> DataFrame:
-    """The postings of ``groups`` with the component of each key and the group's columns."""
-    found = postings.join(groups, "sign")
-    return found.withColumn("comp", F.col("key")) if components is None else found.join(components, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+    hub = F.struct(by.alias("rank"), F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("home"))
+    part = _placed(postings, components).groupBy("sign", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(hub).alias("h"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
+    whole = part.groupBy("sign").agg(F.count(F.lit(1)).alias("comps"), F.min("h").alias("h"), F.max_by("comp", "c").alias("main"), F.sum("c").alias("m"), F.max("c").alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    one = whole.where("comps > 1").groupBy("x", "y", "m").agg(F.min(F.struct("sign", "h", "main", "most")).alias("g"))
+    return materialize(one.select("g.sign", "g.h.hub", "g.h.hub_n", "g.h.home", "g.main", (F.col("m") - F.col("g.most")).alias("r")), "open")
 
 
 def _compared(seats: DataFrame, sets: DataFrame) -> DataFrame:
@@ -363,9 +386,11 @@ def _compared(seats: DataFrame, sets: DataFrame) -> DataFrame:
         out: list[tuple[int, int]] = []
         for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
             split = int((side[rows] == 0).sum())
-            if 0 < split < len(rows):
-                own = [tokens[i] for i in rows]
-                out += _links(own, np.array([len(x) for x in own]), key[rows].tolist(), split)
+            own = [tokens[i] for i in rows]
+            if split == 1:
+                out += _rays(own, key[rows].tolist())
+            elif len(rows) > 1:
+                out += _links(own, np.array([len(x) for x in own]), key[rows].tolist(), split if split < len(rows) else None)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     seats = materialize(seats, "seats")
@@ -375,43 +400,72 @@ def _compared(seats: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(held.groupBy("task").applyInArrow(run, "a long, b long").where("a <> b"), "links")
 
 
-def _stars(postings: DataFrame, components: DataFrame | None, groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of every open group's hub with the members outside its component; a large star is several cells."""
-    edges = _members(postings, components, groups).where("comp <> home").select("hub", "key").distinct()
-    edges = materialize(edges.select("hub", "key"), "stars")
+def _stars(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among (hub, key): each hub with its keys; a large star is several cells."""
+    edges = materialize(edges.distinct(), "stars")
     lots = edges.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("lots"))
-    dealt = edges.join(lots, "hub").select("hub", "key", F.xxhash64("hub", F.pmod(F.xxhash64("key"), "lots")).alias("cell"))
-    rays = dealt.select("cell", F.lit(1).alias("side"), "key")
+    rays = edges.join(lots, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("key"), "lots")).alias("cell"), F.lit(1).alias("side"), "key")
     hubs = lots.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot")).select(F.xxhash64("hub", "lot").alias("cell"), F.lit(0).alias("side"), F.col("hub").alias("key"))
     return _compared(hubs.union(rays), sets)
 
 
-def _rivals(postings: DataFrame, components: DataFrame | None, groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of the members outside each open group's largest component with all members, block by block."""
-    members = materialize(_members(postings, components, groups), "rivals")
-    long = lambda c: F.ceil(F.col(c) / BLOCK)
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), long(c) - 1))
-    own = lambda c: F.pmod(F.xxhash64("key"), long(c))
-    first = members.where("comp <> main").select("sign", "key", own("r").alias("i"), every("m").alias("j"), F.lit(0).alias("side"))
-    second = members.select("sign", "key", every("r").alias("i"), own("m").alias("j"), F.lit(1).alias("side"))
-    return _compared(first.unionByName(second).select(F.xxhash64("sign", "i", "j").alias("cell"), "side", "key"), sets)
+def _hub_edges(members: DataFrame) -> DataFrame:
+    return members.where((F.col("comp") != F.col("home")) & _similar_sizes("n", "hub_n")).select("hub", "key")
+
+
+def _rival_edges(members: DataFrame) -> DataFrame:
+    """Every rival with the members of other components; of two rivals, the lesser is the hub."""
+    rivals = members.where("comp <> main").select("sign", F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("home"))
+    both = members.select("sign", "key", "n", "comp", "main").join(rivals, "sign").where((F.col("comp") != F.col("home")) & _similar_sizes("n", "hub_n"))
+    return both.where((F.col("comp") == F.col("main")) | (F.col("hub") < F.col("key"))).select("hub", "key")
+
 
+def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the sets that large open groups connect, block pair by block pair.
 
-def components_of(postings: DataFrame, sets: DataFrame) -> DataFrame | None:
+    A set's place comes from the counts of smaller sizes among the connected ones and a hash among equal
+    sizes, so no task sorts them all.
+    """
+    least = members.groupBy("sign").agg(F.min("key").alias("a"))
+    joined = members.join(least, "sign").select("a", F.col("key").alias("b"), "n")
+    near = joined.select(F.col("b").alias("key"), "n").distinct()
+    near = materialize(near.join(connected(joined.select("a", "b")).toDF("key", "group"), "key"), "near")
+    each = near.groupBy("group", "n").agg(F.count(F.lit(1)).alias("equal"))
+    own = Window.partitionBy("group")
+    m, tokens = F.sum("equal").over(own), F.sum(F.col("equal") * F.col("n")).over(own)
+    lot = F.greatest(F.lit(16), F.least(F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.ceil(m / 32))), F.ceil(F.lit(BLOCK_SHINGLES) * m / tokens)))
+    start = F.sum("equal").over(own.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("equal")
+    sized = materialize(each.select("group", "n", "equal", start.alias("start"), lot.alias("lot")), "lots")
+    block = F.floor((F.col("start") + F.pmod(F.xxhash64("key"), F.col("equal"))) / F.col("lot")).cast("int")
+    placed = materialize(near.join(sized, ["group", "n"]).select("key", "n", "group", block.alias("block")), "blocks")
+    spans = placed.groupBy("group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    left, right = spans.toDF("group", "i", "low_i", "high_i"), spans.toDF("group", "j", "low_j", "high_j")
+    meets = left.join(right, "group").where((F.col("i") <= F.col("j")) & (100 * F.col("high_i") >= PERCENT * F.col("low_j")))
+    cells = meets.select("group", "i", "j", F.xxhash64("group", "i", "j").alias("cell"))
+    seats = cells.select("group", F.col("i").alias("block"), F.lit(0).alias("side"), "cell").union(cells.where("i < j").select("group", F.col("j").alias("block"), F.lit(1).alias("side"), "cell"))
+    return _compared(placed.join(seats, ["group", "block"]).select("cell", "side", "key"), sets)
+
+
+def components_of(postings: DataFrame, sets: DataFrame) -> DataFrame:
     """(key, root) of the sets that link with others: exact comparisons within signature groups."""
     links = components = None
-    together = lambda more: more if links is None else materialize(links.union(more), "links")
+
+    def add(more: DataFrame) -> DataFrame:
+        return more if links is None else materialize(links.union(more), "links")
+
     for turn in range(TURNS + 1):
         groups = _open_groups(postings, components, turn)
-        work = groups.agg(F.sum(F.col("r").cast("double") * F.col("m")), F.sum("m")).first()
-        if not work[1]:
+        crowded = groups.where(F.col("r") > RIVALS)
+        if turn == TURNS or (turn and crowded.isEmpty()):
             break
-        if turn == TURNS or (turn and work[0] <= EASY * work[1]):
-            links = together(_rivals(postings, components, groups, sets))
-            return connected(links).toDF("key", "root")
-        links = together(_stars(postings, components, groups, sets))
+        chosen = groups if turn == 0 else crowded
+        links = add(_stars(_hub_edges(_placed(postings.join(chosen, "sign"), components)), sets))
         components = connected(links).toDF("key", "root")
-    return components
+    members = lambda some: _placed(postings.join(some, "sign"), components)
+    links = add(_stars(_rival_edges(members(groups.where(F.col("r") <= RIVALS))), sets))
+    if not crowded.isEmpty():
+        links = add(_in_blocks(members(crowded).select("sign", "key", "n"), sets))
+    return connected(links).toDF("key", "root")
 
 
 def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -459,15 +513,12 @@ def _classes(docs: DataFrame) -> DataFrame:
     postings = _postings(sets, frequency)
     kept = materialize(postings, "postings")
     shared = kept.groupBy("sign").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("sign")
-    roots = components_of(materialize(kept.join(shared, "sign"), "shared"), sets)
+    roots = components_of(materialize(kept.join(shared, "sign").select("sign", "key", "n"), "shared"), sets)
     classes = sizes.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
-    if roots is not None:
-        joined = materialize(classes.join(roots.toDF("k1", "root"), "k1"), "linked")
-        lowest = joined.groupBy("root").agg(F.min("least").alias("lowest"))
-        labels = joined.join(lowest, "root").select("k1", "k2", "root", "lowest")
-        classes = classes.join(labels, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("root", "k1").alias("vertex"), F.coalesce("lowest", "least").alias("least"))
-    else:
-        classes = classes.withColumn("vertex", F.col("k1"))
+    joined = materialize(classes.join(roots.toDF("k1", "root"), "k1"), "linked")
+    lowest = joined.groupBy("root").agg(F.min("least").alias("lowest"))
+    labels = joined.join(lowest, "root").select("k1", "k2", "root", "lowest")
+    classes = classes.join(labels, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("root", "k1").alias("vertex"), F.coalesce("lowest", "least").alias("least"))
     return sizes.join(materialize(classes, "labels"), ["k1", "k2"], "left").select("doc_id", "row", "n", "vertex", F.when(F.col("n") > 0, F.col("least")).alias("least"))
 
 

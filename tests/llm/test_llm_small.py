@@ -336,8 +336,9 @@ def test_ngram_join(spark, slots, monkeypatch):
     if slots == "all frequent":
         monkeypatch.setattr(ngram_join, "frequency_classes", lambda first: np.ones(1 << ngram_join.SLOT_BITS, np.uint8))
         monkeypatch.setattr(ngram_join, "BLOCK", 4)
+        monkeypatch.setattr(ngram_join, "BLOCK_LEAST", 8)
         monkeypatch.setattr(ngram_join, "TURNS", 2)
-        monkeypatch.setattr(ngram_join, "EASY", -1)
+        monkeypatch.setattr(ngram_join, "RIVALS", 2)
     g, passage = random.Random(4), " ".join(f"p{k}" for k in range(60))
     rows = [t for s in range(6) for t in near_family(s, 25)] + [f"{passage} {t}" for t in texts(60, 8, 5, 90)] + texts(40, 6, 1, 6) + near_family(99, 30, 7)
     g.shuffle(rows)
