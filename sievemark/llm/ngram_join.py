@@ -13,13 +13,10 @@
    similar sets then share c + 1 of the extended prefix, so a rare one or two of some class. c depends
    on the size band, which is part of every signature, and a set indexes its own band and the next, so
    similar sets meet in one and sets of far-apart sizes don't.
-4. Sets that share a signature are compared exactly, by intersections of their hash sets: first every
-   member with its group's hub (a star, so linear work), which settles each group whose members all
-   fall in one component. Of the other groups, the members outside the largest component (the rivals)
-   meet all members: up to ``RIVALS`` of them as hubs of stars, each pair of sets once however many groups
-   it shares. Where there are more, other hubs are tried first, and what is then still open
-   is compared block pair by block pair (in size order, so far-apart sizes never meet) among the sets
-   that such groups connect. Comparisons return links that span, never all pairs.
+4. Signature groups of the same members count as one. Sets that share a signature are joined to
+   candidate components, which are cut into blocks in order of size and compared block pair by block
+   pair, so far-apart sizes never meet, with exact intersections of the hash sets. Each comparison
+   returns links that span, never pairs.
 
 A fixed-size bitmap tells the pass that writes the remaining sets which texts it needs; texts
 that it lets through by chance are compared like the others.
@@ -49,10 +46,8 @@ from sievemark.llm.packing import _task
 from sievemark.llm.shingles import mix, set_key, shingle_sets
 
 PERCENT, SLOT_BITS, RANGES = 80, 20, 256
-#: Slots of the bitmap of needed texts; sets of one comparison's side, and sets that one task gets, about.
-BITMAP, BLOCK, TASK_SETS = 1 << 23, 1024, 4096
-#: Rivals of a group that become hubs; turns with other hubs where there are more.
-RIVALS, TURNS = 32, 3
+#: Slots of the bitmap of needed texts; sets that one task gets, about.
+BITMAP, TASK_SETS = 1 << 23, 4096
 #: Blocks hold a 32nd of their sets within these bounds, and so many shingles at most on average.
 BLOCK_LEAST, BLOCK_MOST, BLOCK_SHINGLES = 64, 4096, 4_000_000
 #: Hashes of a range that one task answers for, about; ranges grow in number with the corpus.
@@ -284,10 +279,6 @@ def hopeful(rows: DataFrame, questions, frequency, hashes: int) -> DataFrame:
     return answers.groupBy("chunk").applyInArrow(_settle, "rep long")
 
 
-def _similar_sizes(a: str, b: str):
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
-
-
 def _postings(sets: DataFrame, frequency) -> DataFrame:
     """(sign, key, n): the signatures of (k1, tokens), and the sets' sizes."""
 
@@ -304,18 +295,6 @@ def _postings(sets: DataFrame, frequency) -> DataFrame:
     return sets.select("k1", "tokens").mapInArrow(run, "sign long, key long, n long")
 
 
-def _rays(members: list[np.ndarray], ids: list[int]) -> list[tuple[int, int]]:
-    """Links of the first set with each of the others."""
-    hub, sizes = members[0], np.array([len(m) for m in members[1:]], np.int64)
-    if not len(sizes):
-        return []
-    every = np.concatenate(members[1:])
-    at = np.minimum(np.searchsorted(hub, every), len(hub) - 1)
-    both = np.add.reduceat((hub[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-    near = np.flatnonzero(100 * both >= PERCENT * (len(hub) + sizes - both))
-    return [(ids[0], ids[1 + k]) for k in near.tolist()]
-
-
 def _links(members: list[np.ndarray], sizes: np.ndarray, ids: list[int], split: int | None) -> list[tuple[int, int]]:
     """Spanning links among sets: all pairs, or those across ``split`` only."""
     order = np.argsort(np.concatenate(members), kind="stable")
@@ -355,25 +334,16 @@ def _links(members: list[np.ndarray], sizes: np.ndarray, ids: list[int], split:
     return out
 
 
-def _placed(postings: DataFrame, components: DataFrame | None) -> DataFrame:
-    """``postings`` with the component of each key."""
-    if components is None:
-        return postings.withColumn("comp", F.col("key"))
-    return postings.join(components, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
-
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings of signatures with two keys or more; of signatures with the same keys, one stays.
 
-def _open_groups(postings: DataFrame, components: DataFrame | None, turn: int) -> DataFrame:
-    """(sign, hub, hub_n, home, main, r) of the groups whose members lie in several components.
-
-    ``home`` is the hub's component, ``main`` the largest one, and ``r`` the members outside ``main``. Groups
-    are summed by (sign, component) first; of groups with the same members, one stays.
+    A signature's group is summed to a few numbers with map-side combining; only groups that stay come
+    back to the postings, in a join whose large groups Spark can split.
     """
-    by = F.col("key") if turn == 0 else F.xxhash64(F.lit(turn), "key")
-    hub = F.struct(by.alias("rank"), F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("home"))
-    part = _placed(postings, components).groupBy("sign", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(hub).alias("h"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
-    whole = part.groupBy("sign").agg(F.count(F.lit(1)).alias("comps"), F.min("h").alias("h"), F.max_by("comp", "c").alias("main"), F.sum("c").alias("m"), F.max("c").alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-    one = whole.where("comps > 1").groupBy("x", "y", "m").agg(F.min(F.struct("sign", "h", "main", "most")).alias("g"))
-    return materialize(one.select("g.sign", "g.h.hub", "g.h.hub_n", "g.h.home", "g.main", (F.col("m") - F.col("g.most")).alias("r")), "open")
+    kept = materialize(postings, "postings")
+    sums = kept.groupBy("sign").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
+    one = sums.where("a <> z").groupBy("a", "z", "m", "x", "y").agg(F.min("sign").alias("sign"))
+    return materialize(kept.join(one.select("sign", "a"), "sign").select("a", "key", "n"), "shared")
 
 
 def _compared(seats: DataFrame, sets: DataFrame) -> DataFrame:
@@ -387,9 +357,7 @@ def _compared(seats: DataFrame, sets: DataFrame) -> DataFrame:
         for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
             split = int((side[rows] == 0).sum())
             own = [tokens[i] for i in rows]
-            if split == 1:
-                out += _rays(own, key[rows].tolist())
-            elif len(rows) > 1:
+            if len(rows) > 1:
                 out += _links(own, np.array([len(x) for x in own]), key[rows].tolist(), split if split < len(rows) else None)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
@@ -400,36 +368,14 @@ def _compared(seats: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(held.groupBy("task").applyInArrow(run, "a long, b long").where("a <> b"), "links")
 
 
-def _stars(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among (hub, key): each hub with its keys; a large star is several cells."""
-    edges = materialize(edges.distinct(), "stars")
-    lots = edges.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("lots"))
-    rays = edges.join(lots, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("key"), "lots")).alias("cell"), F.lit(1).alias("side"), "key")
-    hubs = lots.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot")).select(F.xxhash64("hub", "lot").alias("cell"), F.lit(0).alias("side"), F.col("hub").alias("key"))
-    return _compared(hubs.union(rays), sets)
-
-
-def _hub_edges(members: DataFrame) -> DataFrame:
-    return members.where((F.col("comp") != F.col("home")) & _similar_sizes("n", "hub_n")).select("hub", "key")
+def components_of(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, root) of the sets that link with others, from (a, key, n): a key and the least one that it shares a signature with.
 
-
-def _rival_edges(members: DataFrame) -> DataFrame:
-    """Every rival with the members of other components; of two rivals, the lesser is the hub."""
-    rivals = members.where("comp <> main").select("sign", F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("home"))
-    both = members.select("sign", "key", "n", "comp", "main").join(rivals, "sign").where((F.col("comp") != F.col("home")) & _similar_sizes("n", "hub_n"))
-    return both.where((F.col("comp") == F.col("main")) | (F.col("hub") < F.col("key"))).select("hub", "key")
-
-
-def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the sets that large open groups connect, block pair by block pair.
-
-    A set's place comes from the counts of smaller sizes among the connected ones and a hash among equal
-    sizes, so no task sorts them all.
+    A set's place in its candidate component comes from the counts of smaller sizes and a hash among equal
+    sizes, so no task sorts a component. Blocks also hold ``BLOCK_SHINGLES`` shingles at most on average.
     """
-    least = members.groupBy("sign").agg(F.min("key").alias("a"))
-    joined = members.join(least, "sign").select("a", F.col("key").alias("b"), "n")
-    near = joined.select(F.col("b").alias("key"), "n").distinct()
-    near = materialize(near.join(connected(joined.select("a", "b")).toDF("key", "group"), "key"), "near")
+    near = shared.select("key", "n").distinct().join(connected(shared.select("a", F.col("key").alias("b"))).toDF("key", "group"), "key")
+    near = materialize(near, "near")
     each = near.groupBy("group", "n").agg(F.count(F.lit(1)).alias("equal"))
     own = Window.partitionBy("group")
     m, tokens = F.sum("equal").over(own), F.sum(F.col("equal") * F.col("n")).over(own)
@@ -443,29 +389,7 @@ def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     meets = left.join(right, "group").where((F.col("i") <= F.col("j")) & (100 * F.col("high_i") >= PERCENT * F.col("low_j")))
     cells = meets.select("group", "i", "j", F.xxhash64("group", "i", "j").alias("cell"))
     seats = cells.select("group", F.col("i").alias("block"), F.lit(0).alias("side"), "cell").union(cells.where("i < j").select("group", F.col("j").alias("block"), F.lit(1).alias("side"), "cell"))
-    return _compared(placed.join(seats, ["group", "block"]).select("cell", "side", "key"), sets)
-
-
-def components_of(postings: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, root) of the sets that link with others: exact comparisons within signature groups."""
-    links = components = None
-
-    def add(more: DataFrame) -> DataFrame:
-        return more if links is None else materialize(links.union(more), "links")
-
-    for turn in range(TURNS + 1):
-        groups = _open_groups(postings, components, turn)
-        crowded = groups.where(F.col("r") > RIVALS)
-        if turn == TURNS or (turn and crowded.isEmpty()):
-            break
-        chosen = groups if turn == 0 else crowded
-        links = add(_stars(_hub_edges(_placed(postings.join(chosen, "sign"), components)), sets))
-        components = connected(links).toDF("key", "root")
-    members = lambda some: _placed(postings.join(some, "sign"), components)
-    links = add(_stars(_rival_edges(members(groups.where(F.col("r") <= RIVALS))), sets))
-    if not crowded.isEmpty():
-        links = add(_in_blocks(members(crowded).select("sign", "key", "n"), sets))
-    return connected(links).toDF("key", "root")
+    return connected(_compared(placed.join(seats, ["group", "block"]).select("cell", "side", "key"), sets)).toDF("key", "root")
 
 
 def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -510,10 +434,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     fewer = materialize(hopeful(first_sets.select("k1", "tokens"), _of_sets, frequency, total // 8).distinct(), "hopeful")
     sets = materialize(first_sets.join(fewer.toDF("k1"), "k1"), "sets")
     release(first_sets)
-    postings = _postings(sets, frequency)
-    kept = materialize(postings, "postings")
-    shared = kept.groupBy("sign").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("sign")
-    roots = components_of(materialize(kept.join(shared, "sign").select("sign", "key", "n"), "shared"), sets)
+    roots = components_of(_shared(_postings(sets, frequency)), sets)
     classes = sizes.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
     joined = materialize(classes.join(roots.toDF("k1", "root"), "k1"), "linked")
     lowest = joined.groupBy("root").agg(F.min("least").alias("lowest"))
