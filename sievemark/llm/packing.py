@@ -170,5 +170,26 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
     return examples.select(F.col(id_col).cast("long").alias("id"), number(tokens_col).alias("tokens"), number(loss_col).alias("loss")).mapInArrow(run, PLACES)
 
 
+def conversation_sizes(turns: DataFrame, id_col: str = "conv_id", role_col: str = "role", text_col: str = "text", bearing: str = "assistant", tokenizer: str | None = None) -> DataFrame:
+    """(id, tokens, loss) of each conversation: every turn's ids and an end id; ``bearing`` turns bear the loss."""
+    path = tokenizer or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = encoder(path)
+        for batch in batches:
+            sizes = [len(code.encode(t)) // 4 + 1 for t in batch.column(2).to_pylist()]
+            loss = [n if r == bearing else 0 for n, r in zip(sizes, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(loss, pa.int64())], names=["id", "tokens", "loss"])
+
+    slim = turns.select(F.col(id_col).cast("long").alias("id"), F.col(role_col).cast("string").alias("role"), text_or_empty(text_col).alias("text"))
+    return slim.mapInArrow(run, "id long, tokens long, loss long").groupBy("id").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))
+
+
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations under all three limits: 1024 tokens, 8 conversations, 512 tokens that bear loss."""
+    sizes = conversation_sizes(read_table(spark, sf_dir, "conversations"))
+    return pack_examples(sizes, "id", "tokens", "loss", CAPACITY, 8, CAPACITY // 2)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))

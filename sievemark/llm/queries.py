@@ -17,10 +17,13 @@ MODULES = {
     "token_output": "op10_token_output",
     "vector_dedup": "op2_vector_dedup",
 }
+#: Further queries: name to module.
+MORE = {"packing_conversations": "packing"}
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"sievemark.llm.{module}"), name) for module, name in MODULES.items()}
+    named = {name: module for module, name in MODULES.items()} | MORE
+    return {name: getattr(import_module(f"sievemark.llm.{module}"), name) for name, module in named.items()}
 
 
 def oracle_sql() -> dict[str, str]:
