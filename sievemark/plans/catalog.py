@@ -59,10 +59,14 @@ class SchemaCatalog:
         regex_dialect: str = "ecma262",
         vocabularies: dict[str, dict[str, str]] | None = None,
         refuse_unknown: bool = False,
+        regex_backend: str = "re",
+        reject_id_fragments: bool = False,
     ) -> None:
+        if regex_backend not in ("re", "regex"):
+            raise ValueError(f"unknown regex backend {regex_backend!r}")
         self.default_dialect = default_dialect.rstrip("#")
         self.loaders = list(loaders or ())
-        self.options = {"default_dialect": self.default_dialect, "reject_unsafe_regex": reject_unsafe_regex, "max_depth": max_depth, "assert_formats": assert_formats, "regex_dialect": regex_dialect, "vocabularies": vocabularies or {}, "refuse_unknown": refuse_unknown}
+        self.options = {"default_dialect": self.default_dialect, "reject_unsafe_regex": reject_unsafe_regex, "max_depth": max_depth, "assert_formats": assert_formats, "regex_dialect": regex_dialect, "vocabularies": vocabularies or {}, "refuse_unknown": refuse_unknown, "regex_backend": regex_backend, "reject_id_fragments": reject_id_fragments}
         self.validate_schemas = validate_schemas
         self.vocabularies = vocabularies or {}
         self.dialects: dict[str, D.Dialect] = D.built_in()
@@ -145,6 +149,7 @@ class SchemaCatalog:
         home = base
         if isinstance(schema, dict) and isinstance(schema.get("$id"), str) and not (own.legacy and "$ref" in schema):
             target, fragment = uris.defragged(uris.resolve(base, schema["$id"]))
+            self._refuse_empty_fragment(schema["$id"])
             if fragment and not own.legacy:
                 raise E.InvalidIdentifierError(f"$id {schema['$id']!r} has a fragment")
             home = target or base
@@ -212,6 +217,7 @@ class SchemaCatalog:
                 if name in ("", "#"):
                     raise E.InvalidIdentifierError(f"$id {name!r} names nothing", f"{resource.uri}#{pointer}")
                 target, fragment = uris.defragged(uris.resolve(resource.uri, name))
+                self._refuse_empty_fragment(name)
                 if fragment:
                     raise E.InvalidIdentifierError(f"$id {name!r} has a fragment")
                 dialect = self.dialect(node["$schema"]) if isinstance(node.get("$schema"), str) else own
@@ -247,6 +253,10 @@ class SchemaCatalog:
                 step = "".join("/" + model.escape(s) for s in (keyword, *segments))
                 self._walk(child, resource, pointer + step, in_document + step, depth + 1)
 
+    def _refuse_empty_fragment(self, name: str) -> None:
+        if self.options["reject_id_fragments"] and name.endswith("#"):
+            raise E.InvalidIdentifierError(f"$id {name!r} has an empty fragment, which reject_id_fragments forbids")
+
     def _anchor(self, resource: Resource, name: str, pointer: str, dynamic: bool) -> None:
         if resource.anchors.get(name, pointer) != pointer:
             raise E.DuplicateAnchorError(f"{resource.uri} has two anchors {name!r}")
@@ -258,12 +268,12 @@ class SchemaCatalog:
         """The compiled matcher of a pattern of a schema."""
         try:
             if self.options["regex_dialect"] == "python":
-                import re
+                from importlib import import_module
 
-                return re.compile(pattern)
+                return import_module(self.options["regex_backend"]).compile(pattern)
             if self.options["reject_unsafe_regex"] and is_unsafe(pattern):
                 raise E.UnsafeRegexError(f"{pattern!r} nests unbounded repeats")
-            return matcher(pattern)
+            return matcher(pattern, self.options["regex_backend"])
         except (RegexSyntaxError, RegexUnsupportedError) as x:
             raise E.InvalidRegexError(str(x)) from x
 
@@ -338,6 +348,30 @@ class SchemaCatalog:
             raise E.AnchorNotFoundError(f"{resource.uri} has no anchor {fragment!r}")
         return Target(resource, resource.anchors[fragment], fragment)
 
+    def positions(self, uri: str) -> list[Target]:
+        """The schema positions that an evaluation of ``uri`` can reach by subschemas and static references."""
+        head, fragment = uris.defragged(uri)
+        first = self.resolve(self.resource(head), uri if fragment else head)
+        seen, queue = {first.location: first}, [first]
+        while queue:
+            here = queue.pop()
+            node = self.node(here)
+            if not isinstance(node, dict):
+                continue
+            own, found = here.resource.dialect, []
+            hidden = own.legacy and isinstance(node.get("$ref"), str)
+            for keyword, value in node.items():
+                behaviour = own.keywords.get(keyword, (None,))[0]
+                if behaviour in ("$ref", "$dynamicRef", "$recursiveRef") and isinstance(value, str):
+                    found.append(self.resolve(here.resource, value))
+                elif behaviour not in (None, "$defs", "definitions") and not hidden:
+                    found += [self.at(here.resource, here.pointer + "".join("/" + model.escape(s) for s in (keyword, *path))) for path, _ in D.subschemas(behaviour, value)]
+            for t in found:
+                if t.location not in seen:
+                    seen[t.location] = t
+                    queue.append(t)
+        return list(seen.values())
+
     def at(self, resource: Resource, pointer: str) -> Target:
         """A pointer from a resource's root; it passes into embedded resources that are registered."""
         node, here = resource.root, ""

@@ -1,135 +1,20 @@
-"""The drafts' own schemas, as the published specifications have them (fixed values), built from short forms.
+"""The drafts' own schemas, as the specifications publish them.
 
-``texts()`` maps each URI to its document: for 2020-12 and 2019-09 a schema and one document per
-vocabulary, for draft-07 and draft-06 one schema each.
+Fixed values: each file of ``published`` is one document, in the order of its publication; nothing here
+builds or changes them. 2020-12 and 2019-09 have a schema and one document per vocabulary, draft-07 and
+draft-06 one schema each.
 """
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
+from importlib.resources import files
 from typing import Any
 
-NEW, OLD = "https://json-schema.org/draft/2020-12/", "https://json-schema.org/draft/2019-09/"
-ANY_BOOLEAN = {"type": "boolean", "default": False}
-COUNT = {"type": "integer", "minimum": 0}
-TYPES = ["array", "boolean", "integer", "null", "number", "object", "string"]
-
-
-def _assertions(local: str) -> dict[str, Any]:
-    """The validation vocabulary; ``local`` is the path of its definitions."""
-    ref = lambda n: {"$ref": f"#/{local}/{n}"}
-    return {
-        "type": {"anyOf": [ref("simpleTypes"), {"type": "array", "items": ref("simpleTypes"), "minItems": 1, "uniqueItems": True}]},
-        "const": True,
-        "enum": {"type": "array", "items": True},
-        "multipleOf": {"type": "number", "exclusiveMinimum": 0},
-        **{k: {"type": "number"} for k in ("maximum", "exclusiveMaximum", "minimum", "exclusiveMinimum")},
-        "maxLength": ref("nonNegativeInteger"),
-        "minLength": ref("nonNegativeIntegerDefault0"),
-        "pattern": {"type": "string", "format": "regex"},
-        "maxItems": ref("nonNegativeInteger"),
-        "minItems": ref("nonNegativeIntegerDefault0"),
-        "uniqueItems": ANY_BOOLEAN,
-        "maxProperties": ref("nonNegativeInteger"),
-        "minProperties": ref("nonNegativeIntegerDefault0"),
-        "required": ref("stringArray"),
-    }
-
-
-DEFINITIONS = {
-    "nonNegativeInteger": COUNT,
-    "nonNegativeIntegerDefault0": {"$ref": "#/$defs/nonNegativeInteger", "default": 0},
-    "simpleTypes": {"enum": TYPES},
-    "stringArray": {"type": "array", "items": {"type": "string"}, "uniqueItems": True, "default": []},
-}
-NOTES = {"title": {"type": "string"}, "description": {"type": "string"}, "default": True, "deprecated": ANY_BOOLEAN, "readOnly": ANY_BOOLEAN, "writeOnly": ANY_BOOLEAN, "examples": {"type": "array", "items": True}}
-CONTENT = {"contentEncoding": {"type": "string"}, "contentMediaType": {"type": "string"}}
-
-
-def _vocabularies(base: str, self_ref: dict[str, str], new: bool) -> dict[str, Any]:
-    many = {"type": "array", "minItems": 1, "items": self_ref}
-    by_name = lambda **more: {"type": "object", "additionalProperties": self_ref, "default": {}, **more}
-    uri, reference = {"type": "string", "format": "uri"}, {"type": "string", "format": "uri-reference"}
-    in_place = {
-        "contains": self_ref, "additionalProperties": self_ref,
-        "properties": by_name(), "patternProperties": by_name(propertyNames={"format": "regex"}), "dependentSchemas": by_name(), "propertyNames": self_ref,
-        "if": self_ref, "then": self_ref, "else": self_ref, "allOf": {"$ref": "#/$defs/schemaArray"}, "anyOf": {"$ref": "#/$defs/schemaArray"}, "oneOf": {"$ref": "#/$defs/schemaArray"}, "not": self_ref,
-    }
-    unevaluated = {"unevaluatedItems": self_ref, "unevaluatedProperties": self_ref}
-    vocabulary = {"type": "object", "propertyNames": uri, "additionalProperties": {"type": "boolean"}, "default": {}}
-    defs = {"type": "object", "additionalProperties": self_ref, "default": {}}
-    if new:
-        anchor, uri_type = {"type": "string", "pattern": "^[A-Za-z_][-A-Za-z0-9._]*$"}, {"$ref": "#/$defs/uriString"}
-        core = {
-            "$id": {"$ref": "#/$defs/uriReferenceString", "pattern": "^[^#]*#?$"}, "$schema": uri_type, "$ref": {"$ref": "#/$defs/uriReferenceString"}, "$anchor": {"$ref": "#/$defs/anchorString"}, "$dynamicRef": {"$ref": "#/$defs/uriReferenceString"}, "$dynamicAnchor": {"$ref": "#/$defs/anchorString"},
-            "$vocabulary": {"type": "object", "propertyNames": uri_type, "additionalProperties": {"type": "boolean"}}, "$comment": {"type": "string"}, "$defs": {"type": "object", "additionalProperties": self_ref},
-        }
-        core_defs = {"anchorString": anchor, "uriString": uri, "uriReferenceString": reference}
-        applicator = {"prefixItems": {"$ref": "#/$defs/schemaArray"}, "items": self_ref, **in_place}
-    else:
-        core = {
-            "$id": {**reference, "pattern": "^[^#]*#?$"}, "$schema": uri, "$anchor": {"type": "string", "pattern": "^[A-Za-z][-A-Za-z0-9.:_]*$"}, "$ref": reference, "$recursiveRef": reference, "$recursiveAnchor": ANY_BOOLEAN,
-            "$vocabulary": vocabulary, "$comment": {"type": "string"}, "$defs": defs,
-        }
-        core_defs = None
-        applicator = {"additionalItems": self_ref, **unevaluated, "items": {"anyOf": [self_ref, {"$ref": "#/$defs/schemaArray"}]}, **in_place}
-    lists = {"maxContains": {"$ref": "#/$defs/nonNegativeInteger"}, "minContains": {"$ref": "#/$defs/nonNegativeInteger", "default": 1}}
-    dependent = {"dependentRequired": {"type": "object", "additionalProperties": {"$ref": "#/$defs/stringArray"}}}
-    out: dict[str, tuple[dict, dict | None]] = {
-        "core": (core, core_defs),
-        "applicator": (applicator, {"schemaArray": many}),
-        "validation": (_assertions("$defs") | lists | dependent, DEFINITIONS),
-        "meta-data": (NOTES, None),
-        "content": (CONTENT | {"contentSchema": self_ref}, None),
-    }
-    if new:
-        out |= {"unevaluated": (unevaluated, None), "format-annotation": ({"format": {"type": "string"}}, None), "format-assertion": ({"format": {"type": "string"}}, None)}
-    else:
-        out["format"] = ({"format": {"type": "string"}}, None)
-    anchor_of = {"$dynamicAnchor": "meta"} if new else {"$recursiveAnchor": True}
-    return {
-        f"{base}meta/{name}": {"$schema": f"{base}schema", "$id": f"{base}meta/{name}", "$vocabulary": {f"{base}vocab/{name}": True}, **anchor_of, "title": f"{name} vocabulary meta-schema", "type": ["object", "boolean"], "properties": properties, **({"$defs": own} if own else {})}
-        for name, (properties, own) in out.items()
-    }
-
-
-def _root(base: str, names: list[str], optional: tuple[str, ...], anchor: dict, more: dict) -> dict[str, Any]:
-    return {"$schema": f"{base}schema", "$id": f"{base}schema", "$vocabulary": {f"{base}vocab/{n}": n not in optional for n in names}, **anchor, "title": "Core and Validation specifications meta-schema", "allOf": [{"$ref": f"meta/{n}"} for n in names], "type": ["object", "boolean"], **more}
-
-
-def _legacy(number: int) -> dict[str, Any]:
-    me, many = {"$ref": "#"}, {"$ref": "#/definitions/schemaArray"}
-    by_name = {"type": "object", "additionalProperties": me, "default": {}}
-    uri = f"http://json-schema.org/draft-0{number}/schema#"
-    own = {
-        "schemaArray": {"type": "array", "minItems": 1, "items": me},
-        "nonNegativeInteger": COUNT,
-        "nonNegativeIntegerDefault0": {"allOf": [{"$ref": "#/definitions/nonNegativeInteger"}, {"default": 0}]},
-        "simpleTypes": {"enum": TYPES},
-        "stringArray": {"type": "array", "items": {"type": "string"}, "uniqueItems": True, "default": []},
-    }
-    reference = {"type": "string", "format": "uri-reference"}
-    late = {"$comment": {"type": "string"}, "readOnly": ANY_BOOLEAN, "writeOnly": ANY_BOOLEAN, "if": me, "then": me, "else": me, **CONTENT} if number == 7 else {}
-    properties = {
-        "$id": reference, "$schema": {"type": "string", "format": "uri"}, "$ref": reference, "title": {"type": "string"}, "description": {"type": "string"}, "default": True, "examples": {"type": "array", "items": True},
-        **_assertions("definitions"), "additionalItems": me, "items": {"anyOf": [me, many], "default": True}, "contains": me, "additionalProperties": me, "definitions": by_name, "properties": by_name, "patternProperties": by_name | {"propertyNames": {"format": "regex"}},
-        "dependencies": {"type": "object", "additionalProperties": {"anyOf": [me, {"$ref": "#/definitions/stringArray"}]}}, "propertyNames": me, "format": {"type": "string"}, "allOf": many, "anyOf": many, "oneOf": many, "not": me, **late,
-    }
-    return {uri.rstrip("#"): {"$schema": uri, "$id": uri, "title": "Core schema meta-schema", "definitions": own, "type": ["object", "boolean"], "properties": properties, "default": True}}
-
 
 @lru_cache(maxsize=1)
 def texts() -> dict[str, Any]:
-    dynamic, recursive = {"$dynamicRef": "#meta"}, {"$recursiveRef": "#"}
-    old_names = ["core", "applicator", "validation", "meta-data", "format", "content"]
-    new_names = ["core", "applicator", "unevaluated", "validation", "meta-data", "format-annotation", "content"]
-    kept = {"definitions": {"type": "object", "additionalProperties": dynamic, "deprecated": True, "default": {}}, "dependencies": {"type": "object", "additionalProperties": {"anyOf": [dynamic, {"$ref": "meta/validation#/$defs/stringArray"}]}, "deprecated": True, "default": {}}}
-    kept_old = {"definitions": {"type": "object", "additionalProperties": recursive, "default": {}}, "dependencies": {"type": "object", "additionalProperties": {"anyOf": [recursive, {"$ref": "meta/validation#/$defs/stringArray"}]}}}
-    return {
-        f"{NEW}schema": _root(NEW, new_names, (), {"$dynamicAnchor": "meta"}, {"properties": kept | {"$recursiveAnchor": {"$ref": "meta/core#/$defs/anchorString", "deprecated": True}, "$recursiveRef": {"$ref": "meta/core#/$defs/uriReferenceString", "deprecated": True}}}),
-        **_vocabularies(NEW, dynamic, True),
-        f"{OLD}schema": _root(OLD, old_names, ("format",), {"$recursiveAnchor": True}, {"properties": kept_old}),
-        **_vocabularies(OLD, recursive, False),
-        **_legacy(7),
-        **_legacy(6),
-    }
+    """Each document by its URI."""
+    found = [json.loads(f.read_text(encoding="utf-8")) for f in files("sievemark.plans.published").iterdir() if f.name.endswith(".json")]
+    return {d["$id"].rstrip("#"): d for d in sorted(found, key=lambda d: d["$id"], reverse=True)}
