@@ -378,8 +378,8 @@ def _width(node: Node) -> tuple[int, int | None]:
 
 
 class _Writer:
-    def __init__(self, java: bool) -> None:
-        self.java = java
+    def __init__(self, java: bool, free: bool = False) -> None:
+        self.java, self.free = java, free  # free: look-behinds may be of any width
 
     def point(self, c: int) -> str:
         if chr(c).isascii() and chr(c).isalnum():
@@ -411,7 +411,7 @@ class _Writer:
             return f"({'' if n.number else '?:'}{self.write(n.items[0])})"
         if n.kind == "look":
             least, most = _width(n.items[0])
-            if not n.ahead and (most is None or (not self.java and least != most)):
+            if not n.ahead and not self.free and (most is None or (not self.java and least != most)):
                 raise RegexUnsupportedError("look-behind of variable width")
             return f"(?{'' if n.ahead else '<'}{'!' if n.negative else '='}{self.write(n.items[0])})"
         if n.kind == "back":
@@ -432,8 +432,15 @@ def to_java(pattern: str) -> str:
 
 
 @lru_cache(maxsize=1024)
-def matcher(pattern: str):
-    """A compiled Python pattern of the same meaning; use its ``search``."""
+def matcher(pattern: str, backend: str = "re"):
+    """A compiled Python pattern of the same meaning; use its ``search``.
+
+    The ``regex`` backend also takes look-behinds of variable width.
+    """
+    if backend == "regex":
+        import regex
+
+        return regex.compile(_Writer(False, True).write(parse(pattern)))
     return re.compile(_Writer(False).write(parse(pattern)))
 
 

@@ -17,7 +17,8 @@ from sievemark.sources.positions import parse_with_ranges
 UNIT = "struct<evaluationPath:string,schemaLocation:string,inputLocation:string,{}>"
 ERROR = UNIT.format("error:string,keyword:string,vocabulary:string,params:string")
 ANNOTATION = UNIT.format("keyword:string,vocabulary:string,annotation:string")
-RESULT = f"struct<valid:boolean,errors:array<{ERROR}>,annotations:array<{ANNOTATION}>,dropped_errors:array<{ERROR}>,dropped_annotations:array<{ANNOTATION}>,output_document:string,trace:string,positions:map<string,struct<line:int,column:int,start:int,end:int>>,engine_error:struct<class:string,message:string,schemaLocation:string>>"
+FAILURE = "struct<class:string,message:string,schemaLocation:string>"
+RESULT = f"struct<valid:boolean,errors:array<{ERROR}>,annotations:array<{ANNOTATION}>,dropped_errors:array<{ERROR}>,dropped_annotations:array<{ANNOTATION}>,output_document:string,trace:string,positions:map<string,struct<line:int,column:int,start:int,end:int>>,engine_error:{FAILURE}>"
 
 
 def _unit(*names: str) -> pa.DataType:
@@ -26,7 +27,7 @@ def _unit(*names: str) -> pa.DataType:
 
 _ERRORS, _NOTES = _unit("error", "keyword", "vocabulary", "params"), _unit("keyword", "vocabulary", "annotation")
 _RESULT = pa.struct(
-    [("valid", pa.bool_()), ("errors", _ERRORS), ("annotations", _NOTES), ("dropped_errors", _ERRORS), ("dropped_annotations", _NOTES), ("output_document", pa.string()), ("trace", pa.string()), ("positions", pa.map_(pa.string(), pa.struct([("line", pa.int32()), ("column", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))), ("engine_error", pa.struct([("class", pa.string()), ("message", pa.string()), ("schemaLocation", pa.string())]))]
+    [("valid", pa.bool_()), ("errors", _ERRORS), ("annotations", _NOTES), ("dropped_errors", _ERRORS), ("dropped_annotations", _NOTES), ("output_document", pa.string()), ("trace", pa.string()), ("positions", pa.map_(pa.string(), pa.struct([("line", pa.int32()), ("column", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))), ("engine_error", pa.struct([(n, pa.string()) for n in ("class", "message", "schemaLocation")]))]
 )
 
 
@@ -58,28 +59,53 @@ def _dump(x) -> str:
     return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
 
 
-def verdict_udf(catalog: SchemaCatalog, uri: str):
-    """text -> boolean: NULL for NULL and for text that is no JSON."""
+#: What a document or a schema can do to an evaluation; each is a row's own failure.
+FAILURES = (SchemaError, ValueError, RecursionError)
+_FAILURE = pa.struct([(n, pa.string()) for n in ("class", "message", "schemaLocation")])
+
+
+def _failure(e: Exception) -> dict:
+    return {"class": type(e).__name__, "message": str(e), "schemaLocation": getattr(e, "location", None)}
+
+
+def verdict_udf(catalog: SchemaCatalog, uri: str, explained: bool = False, once: bool = False):
+    """text -> boolean: NULL for NULL and for what can't be evaluated.
+
+    explained: the result is a struct of ``valid`` and ``engine_error``. once: the optimizer must not
+    evaluate it again in a filter that it moves.
+    """
     shipped = Shipped(catalog)
 
-    @F.arrow_udf("boolean")
-    def kernel(texts: pa.Array) -> pa.Array:
+    def judge(texts: pa.Array) -> tuple[list, list]:
         engine = shipped.get()
         unit, enter, parse = engine.entry(uri), engine.enter, model.parse
-        out = []
+        out, failed = [], []
         for t in texts.to_pylist():
-            if t is None:
-                out.append(None)
-                continue
-            try:
-                value = parse(t)
-            except (ValueError, RecursionError):
-                out.append(None)
-                continue
-            out.append(enter(unit, value, None, False, None))
-        return pa.array(out, pa.bool_())
+            verdict = why = None
+            if t is not None:
+                try:
+                    verdict = enter(unit, parse(t), None, False, None)
+                except FAILURES as e:
+                    why = _failure(e) if explained else None
+            out.append(verdict)
+            if explained:
+                failed.append(why)
+        return out, failed
+
+    if explained:
+
+        @F.arrow_udf(f"struct<valid:boolean,engine_error:{FAILURE}>")
+        def kernel(texts: pa.Array) -> pa.Array:
+            out, failed = judge(texts)
+            return pa.StructArray.from_arrays([pa.array(out, pa.bool_()), pa.array(failed, _FAILURE)], names=["valid", "engine_error"])
 
-    return kernel
+    else:
+
+        @F.arrow_udf("boolean")
+        def kernel(texts: pa.Array) -> pa.Array:
+            return pa.array(judge(texts)[0], pa.bool_())
+
+    return kernel.asNondeterministic() if once else kernel
 
 
 def result_udf(catalog: SchemaCatalog, uri: str, output: str | None, selection: O.Selection | None, params: bool, trace: bool, verbose: bool, fail_fast: bool, positions: bool = False):
@@ -94,10 +120,10 @@ def result_udf(catalog: SchemaCatalog, uri: str, output: str | None, selection:
             return None
         try:
             root = engine.record(uri, model.parse(text))
-        except (SchemaError, ValueError, RecursionError) as e:
+        except FAILURES as e:
             if fail_fast:
                 raise
-            return {"engine_error": {"class": type(e).__name__, "message": str(e), "schemaLocation": getattr(e, "location", None)}}
+            return {"engine_error": _failure(e)}
         row: dict = {"valid": root.valid}
         if not root.valid:
             row["errors"] = units(O.errors(root, params), "params")
@@ -122,8 +148,32 @@ def result_udf(catalog: SchemaCatalog, uri: str, output: str | None, selection:
         engine = shipped.get()
         return pa.array([one(engine, t) for t in texts.to_pylist()], _RESULT)
 
-    return kernel
+    # Else a filter on the result, given or inferred from a generator, would run the kernel again.
+    return kernel.asNondeterministic()
+
 
+def verdict(catalog: SchemaCatalog, uri: str, text: Column, explained: bool = False, once: bool = False) -> Column:
+    return verdict_udf(catalog, uri, explained, once)(text)
+
+
+def verdict_by_uri(catalog: SchemaCatalog):
+    """(schema's URI, text) -> boolean; NULL for NULL and for a URI that the catalog lacks."""
+    shipped = Shipped(catalog)
+
+    @F.arrow_udf("boolean")
+    def kernel(uris: pa.Array, texts: pa.Array) -> pa.Array:
+        engine = shipped.get()
+        units: dict[str, object] = {}
+        out = []
+        for u, t in zip(uris.to_pylist(), texts.to_pylist()):
+            verdict = None
+            if u is not None and t is not None:
+                try:
+                    unit = units.get(u) or units.setdefault(u, engine.entry(u))
+                    verdict = engine.enter(unit, model.parse(t), None, False, None)
+                except FAILURES:
+                    pass
+            out.append(verdict)
+        return pa.array(out, pa.bool_())
 
-def verdict(catalog: SchemaCatalog, uri: str, text: Column) -> Column:
-    return verdict_udf(catalog, uri)(text)
+    return kernel.asNondeterministic()

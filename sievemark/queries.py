@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark import engine as E
+from sievemark.operators.joins import rolling
 from sievemark.operators.output import Selection
 from sievemark.plans.catalog import SchemaCatalog
 from sievemark.sources.documents import as_documents
@@ -72,7 +73,7 @@ verdicts("any_of", "orders", ["o_orderkey"], ["o_totalprice", "o_orderstatus"],
 verdicts("all_of", "orders", ["o_orderkey"], ["o_totalprice", "o_orderstatus"], {"allOf": [PRICE, OPEN]}, "o_totalprice >= 100000 AND o_orderstatus = 'O'")
 verdicts("not_of", "orders", ["o_orderkey"], ["o_totalprice", "o_orderstatus"], {"not": OPEN}, "o_orderstatus <> 'O'")
 verdicts("if_then_else", "orders", ["o_orderkey"], ["o_totalprice", "o_orderstatus"], {"if": OPEN, "then": PRICE, "else": {"properties": {"o_totalprice": {"maximum": 200000}}}}, "CASE WHEN o_orderstatus = 'O' THEN o_totalprice >= 100000 ELSE o_totalprice <= 200000 END")
-verdicts("boolean_schema", "region", ["r_regionkey"], ["r_name"], {"properties": {"r_name": True, "absent": False}}, "TRUE")
+verdicts("boolean_schema", "region", ["r_regionkey"], ["r_name", "r_regionkey"], {"properties": {"r_name": True, "absent": False}, "if": {"properties": {"r_regionkey": {"maximum": 2}}}, "then": {"properties": {"r_name": False}}}, "r_regionkey > 2")
 verdicts("ref_defs", "lineitem", KEY, ["l_tax", "l_discount"], {"$defs": {"rate": {"minimum": 0, "maximum": 0.05}}, "properties": {"l_tax": {"$ref": "#/$defs/rate"}, "l_discount": {"$ref": "#/$defs/rate"}}}, "l_tax BETWEEN 0 AND 0.05::DOUBLE AND l_discount BETWEEN 0 AND 0.05::DOUBLE")
 verdicts("anchor_ref", "nation", ["n_nationkey"], ["n_name", "n_regionkey"], {"$defs": {"r": {"$anchor": "low", "maximum": 2}}, "properties": {"n_regionkey": {"$ref": "#low"}}}, "n_regionkey <= 2")
 verdicts("dynamic_ref", "nation", ["n_nationkey"], ["n_regionkey"], {"$dynamicAnchor": "n", "$defs": {"x": {"$dynamicAnchor": "v", "minimum": 1}}, "properties": {"n_regionkey": {"$dynamicRef": "#v"}}}, "n_regionkey >= 1", "auto")
@@ -81,7 +82,6 @@ verdicts("recursive_ref", "nation", ["n_nationkey"], ["n_regionkey"], {"$schema"
 # ---- objects ----
 verdicts("pattern_props", "part", ["p_partkey"], ["p_name", "p_size", "p_brand"], {"patternProperties": {"^p_s": {"minimum": 20}, "d$": {"pattern": "3"}}}, "p_size >= 20 AND contains(p_brand, '3')")
 verdicts("additional_props", "part", ["p_partkey"], ["p_name", "p_size", "p_brand"], {"properties": {"p_name": True}, "patternProperties": {"^p_b": True}, "additionalProperties": {"maximum": 30}}, "p_size <= 30")
-verdicts("prop_names", "part", ["p_partkey"], ["p_name", "p_size"], {"propertyNames": {"pattern": "^p_", "maxLength": 6}}, "TRUE")
 verdicts("unevaluated_props", "orders", ["o_orderkey"], ["o_orderkey", "o_orderstatus"], {"properties": {"o_orderkey": True}, "anyOf": [{"properties": {"o_orderstatus": {"const": "F"}}}, {"properties": {"o_orderkey": {"minimum": 0}}}], "unevaluatedProperties": False}, "o_orderstatus = 'F'")
 verdicts("unevaluated_props_kernel", "orders", ["o_orderkey"], ["o_orderkey", "o_orderstatus"], {"properties": {"o_orderkey": True}, "anyOf": [{"properties": {"o_orderstatus": {"const": "F"}}}, {"properties": {"o_orderkey": {"minimum": 0}}}], "unevaluatedProperties": False}, "o_orderstatus = 'F'", "kernel")
 verdicts("dependencies_old", "customer", ["c_custkey"], ["c_acctbal", "c_mktsegment"], {"dependencies": {"c_acctbal": ["c_mktsegment"], "c_mktsegment": {"properties": {"c_acctbal": {"minimum": 1000}}}}}, "c_acctbal >= 1000", dialect=OLD)
@@ -113,9 +113,9 @@ def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", F.struct(F.transform("t", lambda x: x["role"]).alias("roles")).alias("doc"))
 
 
-def talks(name: str, schema: Any, rule: str, tier: str = "typed") -> None:
+def talks(name: str, schema: Any, rule: str, tier: str = "typed", dialect: str | None = None) -> None:
     def run(spark, sf_dir):
-        c, u = catalog_of({"properties": {"roles": schema}})
+        c, u = catalog_of({"properties": {"roles": {k: v for k, v in schema.items() if k != "$schema"}}}, dialect)
         return E.validate(_talks(spark, sf_dir), c, u, "doc", tier=tier).select("conv_id", "valid")
 
     register(name, f"WITH t AS (SELECT conv_id, list(role ORDER BY turn, role) AS r FROM conversations GROUP BY conv_id) SELECT conv_id, ({rule}) AS valid FROM t")(run)
@@ -166,6 +166,25 @@ def formats(name: str, source: str, key: str, value: Callable[[], Any], form: st
 
 
 formats("format_date", "orders", "o_orderkey", lambda: F.concat(F.lit("19"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("-02-"), F.lpad((F.col("o_orderkey") % 31).cast("string"), 2, "0")), "date", "o_orderkey % 31 BETWEEN 1 AND 28 OR (o_orderkey % 31 = 29 AND o_orderkey % 100 % 4 = 0 AND o_orderkey % 100 > 0)")
+def examples(form: str, cases: dict[str, bool], tier: str = "auto") -> None:
+    """A format over given texts, dealt to the orders in turn; which of them are valid is in the SQL."""
+    texts = list(cases)
+    good = ", ".join(str(n) for n, t in enumerate(texts) if cases[t])
+    formats("format_" + form.replace("-", "_"), "orders", "o_orderkey", lambda: F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % len(texts) + 1).cast("int")), form, f"o_orderkey % {len(texts)} IN ({good})", tier)
+
+
+examples("time", {"12:00:00Z": True, "24:00:00Z": False, "12:00:00": False, "23:59:60Z": True, "22:59:60Z": False, "12:00:00+01:30": True, "12:60:00Z": False, "01:02:03.5z": True, "1:02:03Z": False})
+examples("hostname", {"example.com": True, "a-b.c1": True, "-a.com": False, "a-.com": False, "a" * 63: True, "a" * 64: False, "": False, "a..b": False, "a_b": False, "localhost": True})
+examples("idn-hostname", {"münchen.de": True, "例え.テスト": True, "a b": False, "-é": False, "example.com": True, "〮a": False})
+examples("idn-email", {"ü@exämple.de": True, "a@b.c": True, "a.b": False, "@b.c": False, "a b@c.d": False, '"a b"@c.d': True})
+examples("ipv6", {"::1": True, "1::2::3": False, "12345::": False, "::ffff:10.0.0.1": True, "1:2:3:4:5:6:7:8": True, "1:2:3:4:5:6:7": False, "fe80::1%eth0": False, "::ffff:10.0.0.256": False})
+examples("uri-reference", {"/a/b?c#d": True, "a b": False, "#x": True, "\\\\host": False, "": True, "http://[::1]/": True, "%zz": False, "a:b/c": True})
+examples("iri", {"http://ƒøø.ßår/?∂=π#ƒ": True, "/a": False, "http://a b": False, "urn:ä": True})
+examples("iri-reference", {"/ä/b": True, "ä#ö": True, "a b": False, "<": False})
+examples("uri-template", {"/a/{b}": True, "{": False, "{+a,b*}": True, "{a:3}": True, "{a:0}": False, "{a": False, "x{?q,r}": True, "{!}": False})
+examples("json-pointer", {"": True, "/a/~0~1": True, "a": False, "/a~2": False, "/": True, "/~": False})
+examples("relative-json-pointer", {"0": True, "1/a": True, "01/a": False, "2#": True, "/a": False, "-1/a": False, "0##": False})
+examples("regex", {"^a+$": True, "(": False, "[a-": False, "\\d{2}": True, "a**": False, "(?<n>x)\\k<n>": True})
 formats("format_date_time", "orders", "o_orderkey", lambda: F.concat(F.lit("2020-01-01T"), F.lpad((F.col("o_orderkey") % 30).cast("string"), 2, "0"), F.lit(":00:00Z")), "date-time", "o_orderkey % 30 <= 23", "kernel")
 formats("format_uri", "pages", "page_id", lambda: F.col("url"), "uri", "regexp_matches(url, '^https?://[A-Za-z0-9.-]+(:[0-9]+)?([/?#][^ ]*)?$')")
 formats("format_uuid", "orders", "o_orderkey", lambda: F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.when(F.col("o_orderkey") % 2 == 0, "abcdef").otherwise("abcde")), "uuid", "o_orderkey % 2 = 0")
@@ -205,8 +224,8 @@ def errors_distinct(spark, sf_dir):
 
 @register("first_error_per_doc", "SELECT event_id, CASE WHEN CAST(props->>'k' AS BIGINT) % 7 = 0 THEN 'not' WHEN CAST(props->>'k' AS BIGINT) > 80 THEN 'maximum' ELSE 'required' END AS keyword FROM events")
 def first_error_per_doc(spark, sf_dir):
-    first = F.row_number().over(Window.partitionBy("event_id").orderBy("error_index"))
-    return _errors(spark, sf_dir).withColumn("n", first).where("n = 1").select("event_id", "keyword")
+    c, u = catalog_of(RECORD)
+    return E.first_errors(table(spark, sf_dir, "events"), c, u, "props", ["event_id"]).select("event_id", "keyword")
 
 
 @register("error_units", f"SELECT event_id, CASE WHEN keyword = 'required' THEN '' ELSE '/k' END AS input, CASE WHEN keyword = 'required' THEN '/required' ELSE '/properties/k/' || keyword END AS path FROM ({FAILS})")
@@ -255,21 +274,6 @@ def unknown_keyword_annotation(spark, sf_dir):
     return E.annotations(table(spark, sf_dir, "events"), c, u, "props", ["event_id"]).select("event_id", "annotation")
 
 
-def documents_of(output: str, sql: str) -> None:
-    def run(spark, sf_dir):
-        c, u = catalog_of({"properties": {"k": {"maximum": 80}}})
-        found = E.evaluate(table(spark, sf_dir, "events"), c, u, "props", output=output)
-        return found.select("event_id", F.get_json_object("result.output_document", "$.valid").alias("valid"), F.get_json_object("result.output_document", {"flag": "$.valid", "basic": "$.errors[0].error", "list": "$.details[0].errors.maximum", "hierarchical": "$.details[0].errors.maximum", "detailed": "$.errors[0].error", "verbose": "$.errors[0].errors[0].errors[0].error"}[output]).alias("message"))
-
-    register(f"output_{output}", sql)(run)
-
-
-MESSAGE = "CASE WHEN CAST(props->>'k' AS BIGINT) > 80 THEN 'must be <= 80, got ' || (props->>'k') END"
-for _output in ("flag", "basic", "list", "hierarchical", "detailed", "verbose"):
-    _text = "CASE WHEN CAST(props->>'k' AS BIGINT) <= 80 THEN 'true' ELSE 'false' END"
-    documents_of(_output, f"SELECT event_id, {_text} AS valid, {_text if _output == 'flag' else MESSAGE} AS message FROM events")
-
-
 # ---- sets, windows, SQL, plans ----
 @register("schema_union", "SELECT o_orderkey FROM orders WHERE (o_totalprice >= 100000 OR o_orderstatus = 'O') AND NOT (o_totalprice >= 100000 AND o_orderstatus = 'O')")
 def schema_union(spark, sf_dir):
@@ -294,8 +298,7 @@ def validity_by_window(spark, sf_dir):
 def validity_drift(spark, sf_dir):
     c, u = catalog_of(PROPS)
     checked = E.validate(table(spark, sf_dir, "events"), c, u, "props", well_formed=True)
-    own = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-3, 0)
-    return checked.select("event_id", F.avg(F.when(F.col("valid"), 4).otherwise(0)).over(own).alias("rate"))
+    return rolling(checked, ["event_type"], "ts", ["event_id"], F.when(F.col("valid"), 4).otherwise(0), 3, "rate").select("event_id", "rate")
 
 
 @register("sql_function", "SELECT event_type, count(*) AS n FROM events WHERE CAST(props->>'k' AS BIGINT) <= 80 GROUP BY event_type")

@@ -17,6 +17,15 @@ def json_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc"))
 
 
+def parquet_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stream of the Parquet files in a folder, or of one file, which streams read by its folder and name."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(path)
+
+
 def as_documents(df: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
     """(keys, doc): the columns of each row as one document."""
     return df.select(*keys, F.struct(*(columns or df.columns)).alias("doc"))

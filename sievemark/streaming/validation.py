@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,6 +28,25 @@ def session_rates(df: DataFrame, time_col: str, key: str, gap: str = "30 minutes
     return own.groupBy(key, F.session_window(time_col, gap)).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col(valid_col)).alias("n_valid"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; a local one only where a local session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="sievemark-")
+        atexit.register(shutil.rmtree, root, True)
+    return f"{root.rstrip('/')}/sievemark-{name}-{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives when all that is there now has been read, as a table."""
+    spark, name = stream.sparkSession, f"sievemark_{uuid.uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", shared_folder(spark, "stream"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 def quarantine(df: DataFrame, catalog: SchemaCatalog, uri: str, doc: str, good: str, bad: str, checkpoint: str, once: bool = True, **options) -> StreamingQuery:
     """Start a query that appends valid documents to ``good`` and the others to ``bad``.
 
