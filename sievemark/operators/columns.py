@@ -130,6 +130,10 @@ class Typed:
         # A float is the number that its shortest text names.
         return [(None, False, (self.column.cast("string") if isinstance(self.type, T.FloatType) else self.column).cast("double"))]
 
+    def number(self) -> Column:
+        """The number, NULL for other kinds: for custom keywords."""
+        return self.numbers()[0][2] if self.numbers() else F.lit(None).cast("double")
+
     def string(self) -> Column:
         return self.column if isinstance(self.type, T.StringType) else time_text(self.column, self.type)
 
@@ -240,6 +244,10 @@ class Variant:
         k = self._kind()
         return [(k == "BIGINT", True, self._get("bigint")), (k.rlike(r"^DECIMAL\(\d+,0\)"), True, self._get("decimal(38,0)")), (None, False, self._double())]
 
+    def number(self) -> Column:
+        """The number as a double, NULL for other kinds: for custom keywords."""
+        return self._double()
+
     def string(self) -> Column:
         return F.when(self._kind().isin(*_TEXTS), F.regexp_replace(F.to_json(self.column), '^"|"$', "")).otherwise(self._get("string"))
 

@@ -377,7 +377,7 @@ def engine_errors(spark, sf_dir):
 @register("custom_keyword", f"SELECT event_id, {K} % 2 = 0 AS valid, {K} % 2 = 0 AS by_column FROM events")
 def custom_keyword(spark, sf_dir):
     """A keyword of one's own, in the kernel and as a Column."""
-    E.register_keyword("queries-even", lambda v, unit: lambda x, f: not v or type(x) is not int or x % 2 == 0, lambda v, x: F.coalesce(~x.is_kind("integer") | (x.numbers()[0][2] % 2 == 0), F.lit(True)) if v else F.lit(True))
+    E.register_keyword("queries-even", lambda v, unit: lambda x, f: not v or type(x) is not int or x % 2 == 0, lambda v, x: F.coalesce(~x.is_kind("integer") | (x.number() % 2 == 0), F.lit(True)) if v else F.lit(True))
     c = SchemaCatalog()
     core = "https://json-schema.org/draft/2020-12/vocab/"
     c.register_vocabulary("https://q.example/v", {"even": "queries-even"})
