@@ -61,6 +61,11 @@ def finite(column: Column) -> Column:
     return F.when(~F.isnan(column) & (F.abs(column) != F.lit(math.inf)), column)
 
 
+def _no_fraction(column: Column) -> Column:
+    """Doubles from 2^53 on have none, and are beyond what floor() gives."""
+    return (F.abs(column) >= F.lit(2.0**53)) | (column == F.floor(column))
+
+
 def time_text(column: Column, kind: T.DataType) -> Column:
     """Dates and times as texts, whatever the session's zone: instants in UTC, local ones without a zone."""
     if isinstance(kind, T.DateType):
@@ -115,7 +120,7 @@ class Typed:
         if name == "integer":
             if self._whole():
                 return self.column.isNotNull()
-            return F.coalesce(self.column == F.floor(self.column), no()) if own == "number" else no()
+            return F.coalesce(_no_fraction(self.column), no()) if own == "number" else no()
         return self.column.isNotNull() if name == own else no()
 
     def _whole(self) -> bool:
@@ -229,7 +234,7 @@ class Variant:
         if name == "number":
             found = k.isin("BIGINT", "DOUBLE", "FLOAT") & self._finite() | k.startswith("DECIMAL")
         elif name == "integer":
-            found = (k == "BIGINT") | k.rlike(r"^DECIMAL\(\d+,0\)") | (k.isin("DOUBLE", "FLOAT") | k.startswith("DECIMAL")) & self._finite() & (self._double() == F.floor(self._double()))
+            found = (k == "BIGINT") | k.rlike(r"^DECIMAL\(\d+,0\)") | (k.isin("DOUBLE", "FLOAT") | k.startswith("DECIMAL")) & self._finite() & _no_fraction(self._double())
         else:
             found = k.isin("STRING", *_TEXTS) if name == "string" else k == {"boolean": "BOOLEAN", "null": "VOID"}[name]
         return F.coalesce(found, no())
