@@ -30,6 +30,7 @@ VOCABULARIES: dict[str, tuple[str, ...]] = {
     _2019 + "format": ("format",),
     _2019 + "content": _CONTENT,
 }
+# What draft-07 and draft-06 have of them.
 _OLD = ("$id", "$schema", "$ref", "definitions", "items", "additionalItems", "contains", *_OBJECT, "allOf", "anyOf", "oneOf", "not", "dependencies", *(k for k in _ASSERTIONS if k not in ("maxContains", "minContains", "dependentRequired")))
 _DRAFT6 = (*_OLD, "title", "description", "default", "examples", "format")
 _DRAFT7 = (*_OLD, "if", "then", "else", "$comment", *(k for k in _META if k != "deprecated"), "format", "contentMediaType", "contentEncoding")
@@ -83,7 +84,7 @@ def built_in() -> dict[str, Dialect]:
     }
 
 
-#: Where keywords hold schemas: one, a list, or a map of them.
+#: Where keywords hold schemas, which is one, a list, or a map of them.
 ONE = frozenset(("additionalProperties", "unevaluatedProperties", "unevaluatedItems", "propertyNames", "not", "if", "then", "else", "contains", "additionalItems", "contentSchema"))
 MANY = frozenset(("allOf", "anyOf", "oneOf", "prefixItems"))
 MAPPED = frozenset(("properties", "patternProperties", "$defs", "definitions", "dependentSchemas", "dependencies"))
