@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+
+Defined results: null text counts as empty in every stage; empty texts are scored like any, equal each other
+and are similar to none, and go in the mix, which takes no words of them; rows without an id take part
+everywhere and come last among equals and near copies; rows that share an id by chance are rows of their
+own; an empty table gives an empty result; columns besides id, text and source pass as they are. Rows
+are chosen by number, so what one stage drops is what it says it drops.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievemark.llm import exact_dedup, mixing, ngram_join, packing, quality
-from sievemark.llm.common import materialize, read_table
+from sievemark.llm.common import materialize, read_table, release
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        later = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if n:
+            release(docs)
+        docs = later
     return STAGES[-1][1](spark, docs, sf_dir)
