@@ -100,7 +100,7 @@ def listed(spans: list[Span]) -> str:
 _SIGNS = " \n\t@.-+()_%,:;/=\"'<>[]#*|!?&{}" + "abcdefghijklmnopqrstuvwxyz"
 _CLASSES = len(_SIGNS) + 5
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
-EMBED, HIDDEN, WINDOW, OVERLAP, PART, TRAINED, BOUND = 8, 12, 256, 32, 1 << 21, 96, 1.5
+EMBED, HIDDEN, WINDOW, OVERLAP, PART, TRAINED, BOUND = 8, 10, 512, 32, 1 << 21, 96, 1.5
 
 
 def codes(text: str) -> np.ndarray:
@@ -342,7 +342,7 @@ def made_examples(n: int, seed: int = 7, size: int = TRAINED) -> list[tuple[str,
     return out
 
 
-def train(examples: list[tuple[str, list[Span]]], steps: int = 320, rows: int = 64, rate: float = 0.02, seed: int = 3, size: int = TRAINED) -> dict[str, np.ndarray]:
+def train(examples: list[tuple[str, list[Span]]], steps: int = 450, rows: int = 128, rate: float = 0.025, seed: int = 3, size: int = TRAINED) -> dict[str, np.ndarray]:
     """Parameters fitted by Adam to the likelihood of the labelled windows' tags; transitions within ``BOUND``."""
     ids, tags = np.zeros((len(examples), size), np.int64), np.zeros((len(examples), size), np.int64)
     for n, (text, spans) in enumerate(examples):

@@ -716,7 +716,8 @@ def test_pipeline(spark, tmp_path):
 def test_pipeline_of_odd_rows(spark, tmp_path):
     """Nulls, empty and long texts, repeated rows and ids, and an empty table pass through every stage."""
     pipeline = pytest.importorskip("corpus_pipeline")
-    near = near_family(7, 4, 60)
+    base = " ".join(f"q{k}" for k in range(60))
+    near = [base, base + " end", base.upper(), base + " stop"]
     rows = [*ODD, (None, "a text of its own without any id at all", "a"), (None, near[0], None), (3, "another text of the id three", "a"), *[(50 + k, t, "b") for k, t in enumerate(near)]]
     for name, some in (("odd", rows), ("none", [])):
         table(spark, some).drop("_key", "recipe").write.parquet(str(tmp_path / name / "documents.parquet"))
