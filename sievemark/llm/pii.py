@@ -120,6 +120,15 @@ def _table() -> np.ndarray:
     return t
 
 
+def squash(x: np.ndarray) -> np.ndarray:
+    """In tanh's place: like it from -1 to 1, at a fifth of the cost. Its slope is (1 - y^2)^1.5."""
+    return x / np.sqrt(1 + x * x)
+
+
+def _slope(y: np.ndarray) -> np.ndarray:
+    return np.maximum(1 - y * y, 0) ** 1.5
+
+
 def _lstm(x: np.ndarray, p: dict, d: str, keep: bool) -> tuple[np.ndarray, list]:
     """x: (T, B, E). Hidden states in the order of x, and what the gradient needs."""
     steps, rows, _ = x.shape
@@ -127,11 +136,11 @@ def _lstm(x: np.ndarray, p: dict, d: str, keep: bool) -> tuple[np.ndarray, list]
     pre = x @ p["W" + d] + p["b" + d]
     for t in range(steps):
         z = pre[t] + h @ p["U" + d]
-        g = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
-        i, f, o, u = g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
+        g = 0.5 + 0.5 * squash(0.5 * z[:, : 3 * HIDDEN])
+        i, f, o, u = g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :], squash(z[:, 3 * HIDDEN :])
         before = c
         c = f * before + i * u
-        th = np.tanh(c)
+        th = squash(c)
         if keep:
             saved.append((h, before, i, f, o, u, th))
         h = o * th
@@ -145,8 +154,9 @@ def _lstm_back(dout: np.ndarray, x: np.ndarray, p: dict, d: str, saved: list, gr
     for t in range(len(saved) - 1, -1, -1):
         h, before, i, f, o, u, th = saved[t]
         dh = dh + dout[t]
-        dc = dc + dh * o * (1 - th * th)
-        dz = np.concatenate([dc * u * i * (1 - i), dc * before * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - u * u)], axis=1)
+        dc = dc + dh * o * _slope(th)
+        gates = _slope(np.concatenate([2 * i - 1, 2 * f - 1, 2 * o - 1, u], axis=1))
+        dz = np.concatenate([0.25 * dc * u, 0.25 * dc * before, 0.25 * dh * th, dc * i], axis=1) * gates
         grad["U" + d] += h.T @ dz
         every[t] = dz
         dh, dc = dz @ p["U" + d].T, dc * f
@@ -390,11 +400,11 @@ class Reader:
         self.embed = np.ascontiguousarray(p["E"].T.astype(np.float32))
         self.sides = []
         for d in "fb":
-            whole = np.concatenate([p["U" + d], p["W" + d], p["b" + d][None, :]]).T.copy()
-            whole[3 * HIDDEN :] *= 2  # tanh x is 2 sigmoid 2x - 1, so all gates are one call
+            whole = np.concatenate([0.5 * p["U" + d], p["W" + d], p["b" + d][None, :]]).T.copy()  # states are kept doubled
+            whole[: 3 * HIDDEN] *= 0.5  # a gate is half of 1 + squash of half its input
             self.sides.append(whole.astype(np.float32))
         self.whole = np.ascontiguousarray(np.stack(self.sides))
-        self.out, self.base, self.trans = p["O"].T.astype(np.float32), p["c"].astype(np.float32)[:, None], p["T"].astype(np.float32)
+        self.out, self.base, self.trans = 0.5 * p["O"].T.astype(np.float32), p["c"].astype(np.float32)[:, None], p["T"].astype(np.float32)
         self.bounds = Bounds(self.trans)
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
@@ -404,33 +414,31 @@ class Reader:
         states = np.empty((steps, 2 * HIDDEN, rows), np.float32)
         held = np.zeros((2, HIDDEN + EMBED + 1, rows), np.float32)
         held[:, -1] = 1
-        c, th, z = (np.zeros((2, n, rows), np.float32) for n in (HIDDEN, HIDDEN, 4 * HIDDEN))
-        i, f, o, u, h = z[:, :HIDDEN], z[:, HIDDEN : 2 * HIDDEN], z[:, 2 * HIDDEN : 3 * HIDDEN], z[:, 3 * HIDDEN :], held[:, :HIDDEN]
+        c, z, large, small = (np.zeros((2, n, rows), np.float32) for n in (HIDDEN, 4 * HIDDEN, 4 * HIDDEN, HIDDEN))
+        gates, i, f, o, u, h = z[:, : 3 * HIDDEN], z[:, :HIDDEN], z[:, HIDDEN : 2 * HIDDEN], z[:, 2 * HIDDEN : 3 * HIDDEN], z[:, 3 * HIDDEN :], held[:, :HIDDEN]
         for t in range(steps):
             held[0, HIDDEN:-1], held[1, HIDDEN:-1] = x[:, t], x[:, steps - 1 - t]
             np.matmul(self.whole, held, out=z)
-            _sigmoid(z)
-            u *= 2
-            u -= 1
+            _squash_into(z, z, large)
+            gates += 1  # twice the gates
             u *= i
             c *= f
             c += u
-            np.multiply(c, 2, out=th)
-            _sigmoid(th)
-            th *= 2
-            th -= 1
-            np.multiply(o, th, out=h)
+            c *= 0.5
+            _squash_into(c, h, small)
+            h *= o
             states[t, :HIDDEN], states[steps - 1 - t, HIDDEN:] = h[0], h[1]
         out = np.matmul(self.out, states)
         out += self.base
         return out
 
 
-def _sigmoid(z: np.ndarray) -> None:
-    np.negative(z, out=z)
-    np.exp(z, out=z)
-    z += 1
-    np.reciprocal(z, out=z)
+def _squash_into(x: np.ndarray, out: np.ndarray, own: np.ndarray) -> None:
+    """``squash`` without new arrays; ``out`` may be ``x``."""
+    np.multiply(x, x, out=own)
+    own += 1
+    np.sqrt(own, out=own)
+    np.divide(x, own, out=out)
 
 
 _RAMP = (np.arange(1, OVERLAP + 1) / (OVERLAP + 1)).astype(np.float32)
