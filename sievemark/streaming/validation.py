@@ -40,11 +40,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives when all that is there now has been read, as a table."""
-    spark, name = stream.sparkSession, f"sievemark_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", shared_folder(spark, "stream"))
-    query.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """What a stream gives when all that is there now has been read, as a table.
+
+    Batches are written by executors to the shared folder, so no result passes the driver. In complete
+    mode each batch is a whole result, and the last one stands. The stream's own state goes when it ends.
+    """
+    spark = stream.sparkSession
+    folder, state, written = shared_folder(spark, "drained"), shared_folder(spark, "stream"), []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
+        written.append(f"{folder}/{number}")
+
+    writer = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", state)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    place = spark._jvm.org.apache.hadoop.fs.Path(state)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(written[-1:] if mode == "complete" else written))
 
 
 def quarantine(df: DataFrame, catalog: SchemaCatalog, uri: str, doc: str, good: str, bad: str, checkpoint: str, once: bool = True, **options) -> StreamingQuery:
