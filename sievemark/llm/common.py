@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +67,45 @@ def release(df: DataFrame) -> None:
             _written.remove((spark, path))
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Return to the system what the allocators of Arrow and C hold free."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, after which the worker gives its free memory back.
+
+    Workers outlive their tasks, and else keep the memory of the largest one beside the JVM's.
+    """
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return own
+
+
+def lean_group(run: Callable) -> Callable:
+    """The same for ``applyInArrow``."""
+
+    def own(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    return own
+
+
 #: Rows of one bitmap of ``rows_kept``, as Spark's bitmap functions cut them.
 _PER_BITMAP = 32768
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import materialize, read_table, release, rows_kept, text_or_empty, unused
+from sievemark.llm.common import lean, lean_group, materialize, read_table, release, rows_kept, text_or_empty, unused
 from sievemark.llm.components import connected
 from sievemark.llm.packing import _task
 from sievemark.llm.shingles import mix, set_key, shingle_sets
@@ -98,7 +98,7 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequency_classes(first: DataFrame) -> np.ndarray:
     """A byte for every counter: 0 is rare, else frequent, more so as it grows. Of fixed size."""
-    rows = first.where("kind = 1").select("slot", "counts").repartition(RANGES, "slot").mapInArrow(_sum_counts, "slot int, counts binary").collect()
+    rows = first.where("kind = 1").select("slot", "counts").repartition(RANGES, "slot").mapInArrow(lean(_sum_counts), "slot int, counts binary").collect()
     count = np.zeros((RANGES, (1 << SLOT_BITS) // RANGES))
     for r in rows:
         count[r.slot] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
@@ -274,9 +274,9 @@ def hopeful(rows: DataFrame, questions, frequency, hashes: int) -> DataFrame:
     something.
     """
     bits = min(20, max(RANGE_BITS, int(np.ceil(np.log2(max(1, hashes) / RANGE_HASHES)))))
-    asked = rows.mapInArrow(_ask(frequency, bits, questions), "chunk long, range long, payload binary")
-    answers = asked.groupBy("range").applyInArrow(_answer, "chunk long, header boolean, payload binary")
-    return answers.groupBy("chunk").applyInArrow(_settle, "rep long")
+    asked = rows.mapInArrow(lean(_ask(frequency, bits, questions)), "chunk long, range long, payload binary")
+    answers = asked.groupBy("range").applyInArrow(lean_group(_answer), "chunk long, header boolean, payload binary")
+    return answers.groupBy("chunk").applyInArrow(lean_group(_settle), "rep long")
 
 
 def _postings(sets: DataFrame, frequency) -> DataFrame:
@@ -292,7 +292,7 @@ def _postings(sets: DataFrame, frequency) -> DataFrame:
                 keys, sizes = np.repeat(part.column(0).to_numpy(), times), np.repeat([len(x) for x in sets], times)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(keys), pa.array(sizes, pa.int64())], names=["sign", "key", "n"])
 
-    return sets.select("k1", "tokens").mapInArrow(run, "sign long, key long, n long")
+    return sets.select("k1", "tokens").mapInArrow(lean(run), "sign long, key long, n long")
 
 
 def _links(members: list[np.ndarray], sizes: np.ndarray, ids: list[int], split: int | None) -> list[tuple[int, int]]:
@@ -365,7 +365,7 @@ def _compared(seats: DataFrame, sets: DataFrame) -> DataFrame:
     count = seats.count()
     task = F.pmod(F.xxhash64("cell"), F.lit(max(1, -(-count // TASK_SETS))))
     held = seats.withColumn("task", task).join(sets.select(F.col("k1").alias("key"), "tokens"), "key")
-    return materialize(held.groupBy("task").applyInArrow(run, "a long, b long").where("a <> b"), "links")
+    return materialize(held.groupBy("task").applyInArrow(lean_group(run), "a long, b long").where("a <> b"), "links")
 
 
 def components_of(shared: DataFrame, sets: DataFrame) -> DataFrame:
@@ -414,7 +414,7 @@ def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 rows = [(*set_key(s), s.astype("<u8").tobytes()) for s in shingle_sets(texts[a:b]) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], names=["k1", "k2", "tokens"])
 
-    return docs.select("name", place("name").cast("long").alias("p"), "text").mapInArrow(run, "k1 long, k2 long, tokens binary")
+    return docs.select("name", place("name").cast("long").alias("p"), "text").mapInArrow(lean(run), "k1 long, k2 long, tokens binary")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -423,7 +423,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     ``vertex`` names the component of a text that isn't empty, ``least`` is the component's least id.
     """
     docs = docs.withColumn("name", F.xxhash64("text"))
-    first = materialize(docs.select("doc_id", "row", "text").mapInArrow(first_pass, FIRST), "sizes")
+    first = materialize(docs.select("doc_id", "row", "text").mapInArrow(lean(first_pass), FIRST), "sizes")
     sizes = first.where("kind = 0").select("doc_id", "row", "n", "k1", "k2")
     frequency = docs.sparkSession.sparkContext.broadcast(frequency_classes(first))
     shingles = sizes.agg(F.sum("n")).first()[0] or 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import read_table, text_or_empty
+from sievemark.llm.common import lean, read_table, text_or_empty
 from sievemark.llm.tokens import default_path, encoder
 
 CAPACITY, SEGMENTS, POOL, LEAST_CUT, END_ID = 1024, 64, 1024, 4, 0
@@ -137,7 +137,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path, limit = tokenizer or default_path(), loss or capacity
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return slim.mapInArrow(lambda batches: pack_pieces(batches, path, capacity, segments, limit), PIECES)
+    return slim.mapInArrow(lean(lambda batches: pack_pieces(batches, path, capacity, segments, limit)), PIECES)
 
 
 def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int | None = None) -> DataFrame:
@@ -167,7 +167,7 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
                     yield some(POOL // 2)
         yield some(0)
 
-    return examples.select(F.col(id_col).cast("long").alias("id"), number(tokens_col).alias("tokens"), number(loss_col).alias("loss")).mapInArrow(run, PLACES)
+    return examples.select(F.col(id_col).cast("long").alias("id"), number(tokens_col).alias("tokens"), number(loss_col).alias("loss")).mapInArrow(lean(run), PLACES)
 
 
 def conversation_sizes(turns: DataFrame, id_col: str = "conv_id", role_col: str = "role", text_col: str = "text", bearing: str = "assistant", tokenizer: str | None = None) -> DataFrame:
@@ -182,7 +182,7 @@ def conversation_sizes(turns: DataFrame, id_col: str = "conv_id", role_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(loss, pa.int64())], names=["id", "tokens", "loss"])
 
     slim = turns.select(F.col(id_col).cast("long").alias("id"), F.col(role_col).cast("string").alias("role"), text_or_empty(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, tokens long, loss long").groupBy("id").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))
+    return slim.mapInArrow(lean(run), "id long, tokens long, loss long").groupBy("id").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))
 
 
 def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import read_table, text_or_empty
+from sievemark.llm.common import lean, read_table, text_or_empty
 
 LABELLED, TERMS, LATENT, NEIGHBOURS, SHARPNESS, THRESHOLD, FOLDS = 4096, 1024, 48, 25, 8.0, 0.3, 5
 MEASURES = 8
@@ -138,7 +138,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in raw], pa.binary())], names=["_id", "_label", "raw"])
 
     # Repeated documents of one id would pass the bound, so one row of each id is taken.
-    found = rows.mapInArrow(run, "_id long, _label int, raw binary").groupBy("_id").agg(F.min("_label").alias("_label"), F.min("raw").alias("raw")).orderBy("_id").collect()
+    found = rows.mapInArrow(lean(run), "_id long, _label int, raw binary").groupBy("_id").agg(F.min("_label").alias("_label"), F.min("raw").alias("raw")).orderBy("_id").collect()
     raw = np.stack([np.frombuffer(r.raw, np.float32) for r in found]) if found else np.zeros((0, TERMS + MEASURES), np.float32)
     return raw, np.array([r["_label"] for r in found], np.float64)
 
@@ -171,7 +171,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), _held_out(F.col(id_col)).alias("held_out"), text_or_empty(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return slim.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, most: int = LABELLED) -> DataFrame:
@@ -184,7 +184,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 part = batch.slice(k, 256)
                 yield part.filter(pa.array(score(part.column(at).to_pylist()) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
