@@ -5,6 +5,7 @@ The base rules read the whole text in linear time. The model, trained in numpy f
 secrets that look alike), adds spans that the rules miss, such as ``bob (at) example.com`` or
 ``030/1234567``. It reads every character of every text, in windows of ``WINDOW`` that overlap by
 ``OVERLAP``; where windows overlap their tag scores are blended, and one Viterbi pass decodes the whole text.
+Windows of many texts go through the network together, whatever their lengths.
 That pass is exact and skips what can't matter: where no run of tags through a character can be worth
 more than tags outside, whatever transitions bring, it is outside on a best path, so only the others are decoded.
 
@@ -100,7 +101,7 @@ def listed(spans: list[Span]) -> str:
 _SIGNS = " \n\t@.-+()_%,:;/=\"'<>[]#*|!?&{}" + "abcdefghijklmnopqrstuvwxyz"
 _CLASSES = len(_SIGNS) + 5
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
-EMBED, HIDDEN, WINDOW, OVERLAP, PART, TRAINED, BOUND = 8, 10, 512, 32, 1 << 21, 96, 1.5
+EMBED, HIDDEN, WINDOW, OVERLAP, PART, TRAINED, BOUND = 8, 12, 512, 32, 1 << 21, 96, 1.5
 
 
 def codes(text: str) -> np.ndarray:
@@ -121,12 +122,12 @@ def _table() -> np.ndarray:
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    """In tanh's place: much like it, and cheaper. Its slope is (1 - y^2)^1.5."""
-    return x / np.sqrt(1 + x * x)
+    """In tanh's place: straight between -1 and 1, so it costs one comparison each way."""
+    return np.clip(x, -1, 1)
 
 
 def _slope(y: np.ndarray) -> np.ndarray:
-    return np.maximum(1 - y * y, 0) ** 1.5
+    return (np.abs(y) < 1).astype(np.float64)
 
 
 def _lstm(x: np.ndarray, p: dict, d: str, keep: bool) -> tuple[np.ndarray, list]:
@@ -206,8 +207,8 @@ class Bounds:
         self.enter, self.leave, self.inner = float(rest[0, 1:].max()), float(rest[1:, 0].max()), float(rest[1:, 1:].max())
 
     def gains(self, s: np.ndarray) -> np.ndarray:
-        """The most that each place of scores (K, N) can bring to a run."""
-        return (s[1:].max(0) - s[0]).astype(np.float64) + self.inner
+        """The most that each place can bring to a run; ``s``: the highest score of another tag there, less outside's."""
+        return s.astype(np.float64) + self.inner
 
     def undecided(self, gains: np.ndarray) -> np.ndarray:
         """The places of a whole text that lie in some run that may be worth more than outside tags.
@@ -231,7 +232,8 @@ def _best_ending(g: np.ndarray) -> np.ndarray:
 def viterbi(s: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """The tags of one best path of scores (N, K)."""
     bounds = Bounds(trans)
-    rest = bounds.undecided(bounds.gains(s.T))
+    s = s[:, 1:] - s[:, :1]
+    rest = bounds.undecided(bounds.gains(s.max(1)))
     out = np.zeros(len(s), np.int8)
     if len(rest):
         runs = np.split(rest, np.flatnonzero(np.diff(rest) > 1) + 1)
@@ -241,7 +243,7 @@ def viterbi(s: np.ndarray, trans: np.ndarray) -> np.ndarray:
 
 
 def decode_runs(runs: list[np.ndarray], after: list[bool], before: list[bool], trans: np.ndarray) -> list[np.ndarray]:
-    """Best tags of runs of scores; ``after`` and ``before`` say whether a run follows or precedes an outside tag."""
+    """Best tags of runs of scores (N, K - 1) less outside's; ``after`` and ``before`` say whether a run follows or precedes an outside tag."""
     order = sorted(range(len(runs)), key=lambda k: -len(runs[k]))
     out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(runs)
     sizes = [len(runs[k]) for k in order]
@@ -249,29 +251,22 @@ def decode_runs(runs: list[np.ndarray], after: list[bool], before: list[bool], t
     while done < len(order):
         # Runs of like length go together, so padding at most doubles the work.
         steps = sizes[done]
-        end = min(bisect.bisect_right(sizes, -(steps // 2), lo=done, key=lambda n: -n) if steps > 1 else len(order), done + max(1, 4_000_000 // steps))
+        end = min(bisect.bisect_right(sizes, -(steps // 2), lo=done, key=lambda n: -n) if steps > 1 else len(order), done + max(1, 400_000 // steps))
         part, own = order[done:end], np.array(sizes[done:end])
         done = end
-        s = np.zeros((kinds, steps, len(part)), np.float32)
-        flat = np.concatenate([runs[n] for n in part])
-        s[:, np.concatenate([np.arange(n) for n in own.tolist()]), np.repeat(np.arange(len(part)), own)] = flat.T
-        best = s[:, 0] + np.where(np.array([after[n] for n in part]), trans[0][:, None], 0)
-        back = np.zeros((steps, kinds, len(part)), np.int8)
+        column = np.arange(len(part))
+        live = np.searchsorted(-own, -np.arange(steps)).tolist()  # runs longer than each step
+        best = np.zeros((steps, kinds, len(part)), np.float32)  # scores, and then the best sums that end there
+        best[np.concatenate([np.arange(n) for n in own.tolist()]), 1:, np.repeat(column, own)] = np.concatenate([runs[n] for n in part])
+        best[0] += np.where(np.array([after[n] for n in part]), trans[0][:, None], 0)
         for t in range(1, steps):
-            live = int((own > t).sum())
-            now = best[:, :live]
-            new = np.empty_like(now)
-            for j in range(kinds):
-                each = now + trans[:, j][:, None]
-                back[t, j, :live] = each.argmax(0)
-                new[j] = each.max(0) + s[j, t, :live]
-            best[:, :live] = new
-        last = (best + np.where(np.array([before[n] for n in part]), trans[:, 0][:, None], 0)).argmax(0).astype(np.int8)
-        tags, column = np.zeros((steps, len(part)), np.int8), np.arange(len(part))
+            best[t, :, : live[t]] += (best[t - 1, :, None, : live[t]] + trans[:, :, None]).max(0)
+        last = (best[own - 1, :, column].T + np.where(np.array([before[n] for n in part]), trans[:, 0][:, None], 0)).argmax(0)
+        tags = np.zeros((steps, len(part)), np.int8)
         for t in range(steps - 1, -1, -1):
-            live = int((own > t).sum())
-            tags[t, :live] = last[:live]
-            last[:live] = back[t, last[:live], column[:live]]
+            tags[t, : live[t]] = now = last[: live[t]]
+            if t:
+                last[: live[t]] = (best[t - 1, :, : live[t]] + trans[:, now]).argmax(0)
         for r, n in enumerate(part):
             out[n] = tags[: own[r], r]
     return out
@@ -399,46 +394,62 @@ class Reader:
     def __init__(self, p: dict[str, np.ndarray]) -> None:
         self.embed = np.ascontiguousarray(p["E"].T.astype(np.float32))
         self.sides = []
-        for d in "fb":
-            whole = np.concatenate([0.5 * p["U" + d], p["W" + d], p["b" + d][None, :]]).T.copy()  # states are kept doubled
-            whole[: 3 * HIDDEN] *= 0.5  # a gate is half of 1 + squash of half its input
-            self.sides.append(whole.astype(np.float32))
-        self.whole = np.ascontiguousarray(np.stack(self.sides))
-        self.out, self.base, self.trans = 0.5 * p["O"].T.astype(np.float32), p["c"].astype(np.float32)[:, None], p["T"].astype(np.float32)
+        out, base = p["O"][:, 1:] - p["O"][:, :1], p["c"][1:] - p["c"][0]
+        for d, side, shift in ("f", out[:HIDDEN], base), ("b", out[HIDDEN:], 0 * base):
+            gates = np.concatenate([p["U" + d], p["W" + d], p["b" + d][None, :]])
+            gates[:, : 3 * HIDDEN] *= 0.25  # a gate is half of 1 + squash of half its input
+            gates[-1, : 3 * HIDDEN] += 0.5
+            tags = np.concatenate([side, np.zeros((EMBED, TAGS - 1)), shift[None, :]])
+            self.sides.append(np.ascontiguousarray(np.concatenate([gates, tags], axis=1).T.astype(np.float32)))
+        self.trans = p["T"].astype(np.float32)
         self.bounds = Bounds(self.trans)
 
-    def scores(self, ids: np.ndarray) -> np.ndarray:
-        """(T, TAGS, B) of the character codes (T, B) of windows; both directions go at once."""
+    def scores(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(T, TAGS - 1, B): scores, less outside's, of the character codes (T, B) of windows of falling ``sizes``.
+
+        Each direction begins at an end of a window, wherever that is, so a window needs no padding; what
+        lies beyond a window's end has no meaning.
+        """
         steps, rows = ids.shape
-        x = np.take(self.embed, ids, axis=1, mode="clip")
-        states = np.empty((steps, 2 * HIDDEN, rows), np.float32)
-        held = np.zeros((2, HIDDEN + EMBED + 1, rows), np.float32)
-        held[:, -1] = 1
-        c, z, large, small = (np.zeros((2, n, rows), np.float32) for n in (HIDDEN, 4 * HIDDEN, 4 * HIDDEN, HIDDEN))
-        gates, i, f, o, u, h = z[:, : 3 * HIDDEN], z[:, :HIDDEN], z[:, HIDDEN : 2 * HIDDEN], z[:, 2 * HIDDEN : 3 * HIDDEN], z[:, 3 * HIDDEN :], held[:, :HIDDEN]
-        for t in range(steps):
-            held[0, HIDDEN:-1], held[1, HIDDEN:-1] = x[:, t], x[:, steps - 1 - t]
-            np.matmul(self.whole, held, out=z)
-            _squash_into(z, z, large)
-            gates += 1  # twice the gates
+        live = np.searchsorted(-sizes, -np.arange(steps)).tolist()  # windows longer than each step
+        out = np.zeros((steps, TAGS - 1, rows), np.float32)
+        for t, s in self._pass(self.sides[0], ids, range(steps), live[:1] + live):
+            out[t, :, : s.shape[1]] = s
+        for t, s in self._pass(self.sides[1], ids, range(steps - 1, -1, -1), live[::-1]):
+            out[t, :, : s.shape[1]] += s
+        return out
+
+    def _pass(self, whole: np.ndarray, ids: np.ndarray, order: range, live: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """One direction: each place in ``order`` with its scores (TAGS - 1, windows).
+
+        One product a step gives the next gates and the scores of the states before them, so it takes in the
+        windows of both places; ``live`` numbers them.
+        """
+        rows, gates = ids.shape[1], 4 * HIDDEN
+        every_x, every_z, every_c = np.zeros((HIDDEN + EMBED + 1, rows), np.float32), np.empty((len(whole), rows), np.float32), np.zeros((HIDDEN, rows), np.float32)
+        every_x[-1] = 1
+        # The bounds of squash for each gate, along the windows: numpy takes longer over single numbers.
+        high, low = np.ones((1, rows), np.float32), np.repeat(np.array([0, 0, 0, -1], np.float32), rows).reshape(4, 1, rows)
+        last, m = None, 0
+        for t, n in zip(order, live):
+            x, z, c = every_x[:, :n], every_z[:, :n], every_c[:, :n]
+            np.take(self.embed, ids[t, :n], axis=1, out=x[HIDDEN:-1], mode="clip")
+            np.matmul(whole, x, out=z)
+            if last is not None:
+                yield last, z[gates:, : min(m, n)]
+            last, m = t, n
+            h, i, f, o, u = x[:HIDDEN], z[:HIDDEN], z[HIDDEN : 2 * HIDDEN], z[2 * HIDDEN : 3 * HIDDEN], z[3 * HIDDEN : gates]
+            four = z[:gates].reshape(4, HIDDEN, n)
+            np.minimum(four, high[:, :n], out=four)
+            np.maximum(four, low[:, :, :n], out=four)
             u *= i
             c *= f
             c += u
-            c *= 0.5
-            _squash_into(c, h, small)
+            np.minimum(c, high[:, :n], out=h)
+            np.maximum(h, low[3, :, :n], out=h)
             h *= o
-            states[t, :HIDDEN], states[steps - 1 - t, HIDDEN:] = h[0], h[1]
-        out = np.matmul(self.out, states)
-        out += self.base
-        return out
-
-
-def _squash_into(x: np.ndarray, out: np.ndarray, own: np.ndarray) -> None:
-    """``squash`` without new arrays; ``out`` may be ``x``."""
-    np.multiply(x, x, out=own)
-    own += 1
-    np.sqrt(own, out=own)
-    np.divide(x, own, out=out)
+        if last is not None:
+            yield last, whole[gates:] @ every_x[:, :m]
 
 
 _RAMP = (np.arange(1, OVERLAP + 1) / (OVERLAP + 1)).astype(np.float32)
@@ -451,35 +462,57 @@ def windows(size: int, low: int = 0, high: int | None = None) -> list[tuple[int,
     return [(j * stride, min(size, j * stride + WINDOW)) for j in range(max(0, (low - WINDOW) // stride + 1), min(last, (high - 1) // stride) + 1)]
 
 
-def text_scores(parts: list[tuple[np.ndarray, int, int]], reader: Reader, block: int = 512) -> np.ndarray:
-    """(TAGS, N): blended scores of the parts (codes of a whole text, from, to), one after the other.
+class Scores:
+    """Blended scores, less outside's, of the parts (codes of a whole text, from, to), one after the other.
 
-    Windows are padded to a multiple of 32 by their own length only, so a text's scores don't depend
-    on its neighbours.
+    Windows go together by length, whatever text they are of, so few are read alone.
     """
-    offsets = np.cumsum([0] + [hi - lo for _, lo, hi in parts])
-    out = np.zeros((TAGS, int(offsets[-1])), np.float32)
-    jobs: dict[int, list[tuple[int, int, int]]] = {}
-    for n, (own, lo, hi) in enumerate(parts):
-        for a, b in windows(len(own), lo, hi) if hi > lo else ():
-            jobs.setdefault(-(-(b - a) // 32) * 32, []).append((n, a, b))
-    for steps, every in jobs.items():
-        for k in range(0, len(every), block):
-            part = every[k : k + block]
-            ids = np.zeros((len(part), steps), np.uint8)
+
+    def __init__(self, parts: list[tuple[np.ndarray, int, int]], reader: Reader, block: int = 1024) -> None:
+        offsets = np.cumsum([0] + [hi - lo for _, lo, hi in parts]).tolist()
+        jobs = [(n, a, b) for n, (own, lo, hi) in enumerate(parts) if hi > lo for a, b in windows(len(own), lo, hi)]
+        order = sorted(range(len(jobs)), key=lambda j: jobs[j][1] - jobs[j][2])
+        self.top = np.zeros(offsets[-1], np.float32)  # the highest score of each place
+        # Where a window's own places begin (its end is the next one's), and where its first place would be.
+        self.starts = np.array([offsets[n] + max(a, parts[n][1]) - parts[n][1] for n, a, _ in jobs], np.int64)
+        self.zeros = np.array([offsets[n] + a - parts[n][1] for n, a, _ in jobs], np.int64)
+        self.rank = np.empty(len(jobs), np.int64)
+        self.rank[order] = np.arange(len(jobs))
+        self.block, self.blocks = block, []
+        # A window but the last of its text is whole; its end is blended into the beginning of the next.
+        ends = np.zeros((OVERLAP, TAGS - 1, sum(b - a == WINDOW for _, a, b in jobs)), np.float32)
+        for k in range(0, len(jobs), block):
+            part = [jobs[j] for j in order[k : k + block]]
+            sizes = np.array([b - a for _, a, b in part])
+            ids = np.zeros((len(part), sizes[0]), np.uint8)
             for r, (n, a, b) in enumerate(part):
                 ids[r, : b - a] = parts[n][0][a:b]
-            found = np.ascontiguousarray(reader.scores(np.ascontiguousarray(ids.T).astype(np.intp)).transpose(2, 1, 0))
-            for r, (n, a, b) in enumerate(part):
+            self.blocks.append(reader.scores(np.ascontiguousarray(ids.T).astype(np.intp), sizes))
+            if whole := int((sizes == WINDOW).sum()):
+                ends[:, :, k : k + whole] = self.blocks[-1][-OVERLAP:, :, :whole]
+        ramp = _RAMP[:, None, None]
+        for k, s in zip(range(0, len(jobs), block), self.blocks):
+            part = order[k : k + block]
+            if later := [r for r, j in enumerate(part) if j and jobs[j - 1][0] == jobs[j][0]]:
+                s[:OVERLAP, :, later] = s[:OVERLAP, :, later] * ramp + ends[:, :, self.rank[[part[r] - 1 for r in later]]] * ramp[::-1]
+            top = np.ascontiguousarray(s.max(1).T)
+            for r, j in enumerate(part):
+                n, a, b = jobs[j]
                 own, lo, hi = parts[n]
-                s = found[r, :, : b - a]
-                if a > 0:
-                    s[:, :OVERLAP] *= _RAMP
-                if b < len(own):
-                    s[:, -OVERLAP:] *= _RAMP[::-1]
-                x, y = max(a, lo), min(b, hi)
-                out[:, offsets[n] + x - lo : offsets[n] + y - lo] += s[:, x - a : y - a]
-    return out
+                x, y = max(a, lo), min(b if b == len(own) else b - OVERLAP, hi)
+                if x < y:
+                    self.top[offsets[n] + x - lo : offsets[n] + y - lo] = top[r, x - a : y - a]
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """(N, TAGS - 1): the scores of N places."""
+        job = np.searchsorted(self.starts, places, side="right") - 1
+        step, rank, out = places - self.zeros[job], self.rank[job], np.empty((len(places), TAGS - 1), np.float32)
+        order = np.argsort(rank, kind="stable")
+        cuts = np.searchsorted(rank[order], self.block * np.arange(len(self.blocks) + 1)).tolist()
+        for s, a, b in zip(self.blocks, cuts, cuts[1:]):
+            here = order[a:b]
+            out[here] = s[step[here], :, rank[here] % self.block]
+        return out
 
 
 def _parts(texts: list[str]) -> Iterator[list[tuple[int, int, int]]]:
@@ -526,11 +559,16 @@ def text_tags(texts: list[str], reader: Reader) -> list[tuple[np.ndarray, np.nda
             if lo == 0:
                 keep(n, *_long_text(texts[n], reader))
             continue
-        s = text_scores([(codes(texts[n]), lo, hi) for n, lo, hi in group], reader)
-        gains, at = bounds.gains(s), 0
+        s = Scores([(codes(texts[n]), lo, hi) for n, lo, hi in group], reader)
+        gains, at = bounds.gains(s.top), 0
+        rests = []
         for n, lo, hi in group:
-            rest = bounds.undecided(gains[at : at + hi - lo])
-            keep(n, rest, s[:, rest + at].T)
+            rests.append(bounds.undecided(gains[at : at + hi - lo]) + at)
+            at += hi - lo
+        scores, done, at = s.at(np.concatenate(rests)), 0, 0
+        for (n, lo, hi), rest in zip(group, rests):
+            keep(n, rest - at, scores[done : done + len(rest)])
+            done += len(rest)
             at += hi - lo
     out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
     for (n, r), tags in zip(owner, decode_runs(runs, after, before, reader.trans)):
@@ -542,12 +580,13 @@ def text_tags(texts: list[str], reader: Reader) -> list[tuple[np.ndarray, np.nda
 def _long_text(text: str, reader: Reader) -> tuple[np.ndarray, np.ndarray]:
     own = codes(text)
     cuts = [(lo, min(len(own), lo + PART)) for lo in range(0, len(own), PART)]
-    gains = np.concatenate([reader.bounds.gains(text_scores([(own, lo, hi)], reader)) for lo, hi in cuts])
+    gains = np.concatenate([reader.bounds.gains(Scores([(own, lo, hi)], reader).top) for lo, hi in cuts])
     rest, found = reader.bounds.undecided(gains), []
     for lo, hi in cuts:
         a, b = np.searchsorted(rest, [lo, hi])
-        found.append(text_scores([(own, lo, hi)], reader)[:, rest[a:b] - lo].T if b > a else np.zeros((0, TAGS), np.float32))
-    return rest, np.concatenate(found)
+        if b > a:
+            found.append(Scores([(own, lo, hi)], reader).at(rest[a:b] - lo))
+    return rest, np.concatenate([np.zeros((0, TAGS - 1), np.float32), *found])
 
 
 _NUMBER = re.compile(r"[0-9]+")
@@ -578,9 +617,7 @@ def model_spans(texts: list[str], p: dict[str, np.ndarray] | Reader) -> list[lis
     """Spans that the model finds in each whole text and that keep their kind's definition."""
     reader = p if isinstance(p, Reader) else Reader(p)
     out: list[list[Span]] = [[] for _ in texts]
-    with np.errstate(over="ignore"):
-        found = text_tags(texts, reader)
-    for n, (places, tags) in enumerate(found):
+    for n, (places, tags) in enumerate(text_tags(texts, reader)):
         inside = np.flatnonzero(tags)
         run: list | None = None
         for at, tag in [*zip(places[inside].tolist(), tags[inside].tolist()), (None, 0)]:
